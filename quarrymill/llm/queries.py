@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrymill.llm.near_duplicates import near_duplicate_pairs, near_duplicate_report
+from quarrymill.llm.encoding import encode_texts
+from quarrymill.llm.split_overlap import cross_split_overlaps, overlap_report
 from quarrymill.session import table
 
 
@@ -18,8 +20,20 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_report(table(spark, d, "toxic_reddit"), "id", "text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split_overlaps(*[table(spark, d, t) for t in ("unseen_data", "non_toxic_reddit", "paradetox")]).select("dataset", "eval_key", "train_key")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_report(*[table(spark, d, t) for t in ("unseen_data", "non_toxic_reddit", "paradetox")])
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_groups": p6_groups}
+    return {"p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 def oracle_sql() -> dict[str, str]:
