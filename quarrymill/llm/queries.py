@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarrymill.llm.leaks import leaked_items
 from quarrymill.llm.near_duplicates import near_duplicate_pairs, near_duplicate_report
 from quarrymill.llm.encoding import encode_texts
 from quarrymill.llm.split_overlap import cross_split_overlaps, overlap_report
@@ -20,6 +22,16 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_report(table(spark, d, "toxic_reddit"), "id", "text")
 
 
+def p1_leaks(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "wildguard")
+    each = [leaked_items(table(spark, d, t), k, "text", items, "item_id", "prompt").withColumn("corpus", F.lit(t)) for t, k in (("documents", "doc_id"), ("toxic_reddit", "id"))]
+    return each[0].unionByName(each[1])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_leaks(spark, d).select("corpus", "doc_key", "item_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return cross_split_overlaps(*[table(spark, d, t) for t in ("unseen_data", "non_toxic_reddit", "paradetox")]).select("dataset", "eval_key", "train_key")
 
@@ -33,7 +45,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids, "p6_found": p6_found, "p6_groups": p6_groups}
+    return {"p1_found": p1_found, "p1_leaks": p1_leaks, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 def oracle_sql() -> dict[str, str]:
