@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm.leaks import leaked_items
 from quarrymill.llm.near_duplicates import near_duplicate_pairs, near_duplicate_report
 from quarrymill.llm.encoding import encode_texts
+from quarrymill.llm.residue import residue_documents
 from quarrymill.llm.split_overlap import cross_split_overlaps, overlap_report
 from quarrymill.session import table
 
@@ -44,8 +45,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_residue(spark, d).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_leaks": p1_leaks, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids, "p6_found": p6_found, "p6_groups": p6_groups}
+    return {"p1_found": p1_found, "p1_leaks": p1_leaks, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids, "p9_found": p9_found, "p9_residue": p9_residue, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 def oracle_sql() -> dict[str, str]:
