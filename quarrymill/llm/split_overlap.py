@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +110,7 @@ def few_edits(a: np.ndarray, b: np.ndarray, most: int = 3) -> bool:
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.tolist(), b.tolist()
-    if (Counter(x) & Counter(y)).total() < max(len(x), len(y)) - most:
+    if len(set(x) - set(y)) > most or (Counter(x) & Counter(y)).total() < max(len(x), len(y)) - most:
         return False
     row = list(range(len(y) + 1))
     for i, u in enumerate(x, 1):
@@ -125,19 +124,21 @@ def few_edits(a: np.ndarray, b: np.ndarray, most: int = 3) -> bool:
 
 
 def _verify(batches, how, same):
+    """Overlap fractions of all pairs of a batch at once; the exact comparison only where the fraction is reached."""
     for batch in batches:
-        cols = [segments(batch.column(c)) for c in ("we", "wt", "ce", "se", "ct")]
-        starts = [starts_of(n) for _, n in cols]
-        keep = np.zeros(batch.num_rows, dtype=bool)
-        share = np.zeros(batch.num_rows)
-        for k in range(batch.num_rows):
-            we, wt, ce, se, ct = (v[s[k] : s[k + 1]] for (v, _), s in zip(cols, starts))
-            share[k] = se[np.isin(ce, ct)].sum() / len(we)
-            keep[k] = share[k] >= how.fraction and same(we, wt)
-        out = batch.select(["e", "t"]).append_column("share", pa.array(share)) if hasattr(batch, "append_column") else None
-        if out is None:
-            out = pa.RecordBatch.from_arrays([batch.column("e"), batch.column("t"), pa.array(share)], names=["e", "t", "share"])
-        yield out.filter(pa.array(keep))
+        (we, ne), (wt, nt), (ce, me), (se, _), (ct, mt) = [segments(batch.column(c)) for c in ("we", "wt", "ce", "se", "ct")]
+        of = np.repeat(np.arange(len(me), dtype=np.uint64), me)
+        mine = of << np.uint64(44) | ce.view(np.uint64) >> np.uint64(20)
+        other = np.repeat(np.arange(len(mt), dtype=np.uint64), mt) << np.uint64(44) | ct.view(np.uint64) >> np.uint64(20)
+        other = np.sort(other)
+        near = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
+        shared = other[near] == mine if len(other) else np.zeros(len(mine), bool)
+        share = np.bincount(of.astype(np.int64), weights=se * shared, minlength=len(ne)) / np.maximum(ne, 1)
+        keep = share >= how.fraction
+        es, ts = starts_of(ne), starts_of(nt)
+        for k in np.flatnonzero(keep).tolist():
+            keep[k] = same(we[es[k] : es[k + 1]], wt[ts[k] : ts[k + 1]])
+        yield pa.RecordBatch.from_arrays([batch.column("e"), batch.column("t"), pa.array(share)], names=["e", "t", "share"]).filter(pa.array(keep))
 
 
 def overlapping_records(evaluation: DataFrame, training: DataFrame, how: Cutting, same, min_words: int = 1) -> DataFrame:
