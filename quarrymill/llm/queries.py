@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.leaks import leaked_items
 from quarrymill.llm.near_duplicates import near_duplicate_pairs, near_duplicate_report
+from quarrymill.llm.abuse import abuse_rates, abuse_scores, abusive_records
 from quarrymill.llm.encoding import encode_texts
+from quarrymill.llm.mixing import mix_report, mixed_documents
+from quarrymill.llm.packing import packed_sequences, packing_report
+from quarrymill.llm.pii import mentions, redact
 from quarrymill.llm.residue import residue_documents
 from quarrymill.llm.split_overlap import cross_split_overlaps, overlap_report
 from quarrymill.session import table
@@ -33,6 +37,36 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_leaks(spark, d).select("corpus", "doc_key", "item_id")
 
 
+def p2_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packed_sequences(table(spark, d, "input_ids"), table(spark, d, "label_mask"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(table(spark, d, "input_ids"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return abusive_records(table(spark, d, "toxic_reddit"), table(spark, d, "paradetox"))
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "toxic_reddit"), table(spark, d, "paradetox"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rates(table(spark, d, "toxic_reddit"), table(spark, d, "paradetox"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    each = [mentions(table(spark, d, t), "id", "text").select(F.lit(t).alias("corpus"), "doc_key", "pii_type", "start_pos") for t in ("toxic_reddit", "non_toxic_reddit")]
+    return each[0].unionByName(each[1])
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    each = [redact(table(spark, d, t), "id", "text").withColumn("corpus", F.lit(t)) for t in ("toxic_reddit", "non_toxic_reddit")]
+    return each[0].unionByName(each[1])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return cross_split_overlaps(*[table(spark, d, t) for t in ("unseen_data", "non_toxic_reddit", "paradetox")]).select("dataset", "eval_key", "train_key")
 
@@ -45,6 +79,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_residue(spark: SparkSession, d: str) -> DataFrame:
     return residue_documents(table(spark, d, "documents"), "doc_id", "text")
 
@@ -54,7 +96,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_leaks": p1_leaks, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids, "p9_found": p9_found, "p9_residue": p9_residue, "p6_found": p6_found, "p6_groups": p6_groups}
+    every = (p1_found, p1_leaks, p2_packed, p2_report, p3_found, p3_scores, p3_rates, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_report, p9_found, p9_residue)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
