@@ -27,10 +27,11 @@ DECAY = 0.7
 GAP = 6
 WINDOW = 18
 STRIDE = 9
-SAMPLE_RECORDS = 12_000  # the bound on the labelled records the model is fitted on
-BEGINNING = 24  # of sentences that begin with the same two words, so many are used, whatever their labels
+SAMPLE_RECORDS = 9_000  # the bound on the labelled records the model is fitted on
+BEGINNING = 40  # of sentences that begin with the same two words, so many are used, whatever their labels
 SAMPLE_PAIRS = 1500
-LANDMARKS = 1000
+LANDMARKS = 700
+BLOCK = 1000
 RIDGE = 0.003
 LEXICON = 160
 ALIKE = 0.55
@@ -217,26 +218,40 @@ def train(sents: list[list[str]], labels: np.ndarray, landmarks: int = LANDMARKS
     lf, lr, lv = f[own], mark[r[own]], v[own]
     o = np.argsort(lf, kind="stable")
     lf, lr, lv = lf[o], lr[o], lv[o]
+    o = np.argsort(r, kind="stable")
+    r, f, v = r[o], f[o], v[o]
     lo, hi = np.searchsorted(lf, f, side="left"), np.searchsorted(lf, f, side="right")
-    k = np.zeros((len(sents), m))
-    for a in range(0, len(f), 400_000):
-        times = (hi - lo)[a : a + 400_000]
-        at = np.repeat(np.arange(a, a + len(times)), times)
-        which = np.repeat(lo[a : a + 400_000], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        k += np.bincount(r[at] * m + lr[which], weights=v[at] * lv[which], minlength=len(sents) * m).reshape(len(sents), m)
-    value, vector = np.linalg.eigh(k[chosen])
-    good = value > 1e-6 * value.max()
-    root = vector[:, good] / np.sqrt(value[good])
-    z = np.c_[k @ root, np.ones(len(sents))]
+    # kernels of all sentences with the landmarks, a block of sentences at a time
+    k = np.zeros((len(sents), m), np.float32)
+    for a in range(0, len(sents), BLOCK):
+        x, y_ = np.searchsorted(r, (a, a + BLOCK))
+        times = hi[x:y_] - lo[x:y_]
+        at = np.repeat(np.arange(x, y_), times)
+        which = np.repeat(lo[x:y_], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        rows = min(BLOCK, len(sents) - a)
+        k[a : a + rows] = np.bincount((r[at] - a) * m + lr[which], weights=v[at] * lv[which], minlength=rows * m).reshape(rows, m)
+    value, vector = np.linalg.eigh(k[chosen].astype(float))
+    good = value > 1e-5 * value.max()
+    root = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
+    z = np.empty((len(sents), root.shape[1] + 1), np.float32)
+    z[:, -1] = 1
+    for a in range(0, len(sents), BLOCK):
+        z[a : a + BLOCK, :-1] = k[a : a + BLOCK] @ root
+    del k
     # squared hinge by Newton steps on the primal
     w = np.zeros(z.shape[1])
     reg = np.full(z.shape[1], RIDGE * len(sents) / 100)
     reg[-1] = 1e-6
     for _ in range(12):
-        active = y * (z @ w) < 1
-        za = z[active]
-        new = np.linalg.solve(za.T @ za + np.diag(reg), za.T @ y[active])
-        if np.abs(new - w).max() < 1e-4:
+        gram, side = np.diag(reg), np.zeros(z.shape[1])
+        for a in range(0, len(sents), BLOCK):
+            block, want = z[a : a + BLOCK], y[a : a + BLOCK]
+            active = want * (block @ w) < 1
+            block = block[active]
+            gram += block.T @ block
+            side += block.T @ want[active]
+        new = np.linalg.solve(gram, side)
+        if np.abs(new - w).max() < 1e-3:
             break
         w = new
     beta = root @ w[:-1]
