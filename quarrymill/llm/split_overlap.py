@@ -27,25 +27,30 @@ from quarrymill.session import cut
 
 @dataclass(frozen=True)
 class Cutting:
-    """One word in `every` ends a chunk, by the hash of the last `window` words; chunks have `least` to `most` words."""
+    """One word in `every` ends a chunk, by the hash of the last `window` words; chunks have `least` to `most` words.
+
+    A record is cut `cuttings` times by independent hashes; its overlap is the mean of theirs, which varies less with
+    the place of an edit.
+    """
 
     every: int
     window: int
     least: int
     most: int
     fraction: float
+    cuttings: int
 
 
-LONG = Cutting(every=6, window=2, least=3, most=24, fraction=0.2)
-SHORT = Cutting(every=3, window=1, least=2, most=8, fraction=0.25)
+LONG = Cutting(every=6, window=2, least=3, most=24, fraction=0.15, cuttings=2)
+SHORT = Cutting(every=3, window=1, least=2, most=8, fraction=0.25, cuttings=3)
 
 
-def chunk_ends(h: np.ndarray, n: np.ndarray, how: Cutting) -> np.ndarray:
+def chunk_ends(h: np.ndarray, n: np.ndarray, how: Cutting, salt: int = 0) -> np.ndarray:
     """The positions behind the last word of each chunk, over all records."""
     roll = np.zeros(len(h), dtype=np.uint64)
     at = np.arange(len(h)) - np.repeat(starts_of(n)[:-1], n)
     for k in range(how.window):
-        roll[k:] += np.where(at[k:] >= k, mix(h[: len(h) - k], 70 + k), np.uint64(0))
+        roll[k:] += np.where(at[k:] >= k, mix(h[: len(h) - k], 70 + 50 * salt + k), np.uint64(0))
     marked = np.flatnonzero(roll % np.uint64(how.every) == 0) + 1
     start = starts_of(n)
     ends: list[int] = []
@@ -79,10 +84,13 @@ def _chunks(batches, how, min_words):
         h, n = h[np.repeat(keep, n)], n[keep]
         start = starts_of(n)
         whole = np.stack([sums(mix(h, 21) * odd_powers(n, 21), start), sums(mix(h, 22) * odd_powers(n, 22), start)], axis=1)
-        ends = chunk_ends(h, n, how)
-        size = np.diff(np.r_[0, ends])
-        digest = mix(sums(mix(h, 31) * odd_powers(size, 31), np.r_[0, ends]), 33)
-        rec = np.searchsorted(start, ends, side="left") - 1
+        digests, sizes, recs = [], [], []
+        for salt in range(how.cuttings):
+            ends = chunk_ends(h, n, how, salt)
+            sizes.append(np.diff(np.r_[0, ends]))
+            digests.append(mix(sums(mix(h, 31) * odd_powers(sizes[-1], 31), np.r_[0, ends]), 33 + salt))
+            recs.append(np.searchsorted(start, ends, side="left") - 1)
+        digest, size, rec = np.concatenate(digests), np.concatenate(sizes), np.concatenate(recs)
         o = np.lexsort((digest, rec))
         rec, digest, size = rec[o], digest[o], size[o]
         new = np.r_[True, (rec[1:] != rec[:-1]) | (digest[1:] != digest[:-1])]
@@ -133,7 +141,7 @@ def _verify(batches, how, same):
         other = np.sort(other)
         near = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
         shared = other[near] == mine if len(other) else np.zeros(len(mine), bool)
-        share = np.bincount(of.astype(np.int64), weights=se * shared, minlength=len(ne)) / np.maximum(ne, 1)
+        share = np.bincount(of.astype(np.int64), weights=se * shared, minlength=len(ne)) / np.maximum(ne * how.cuttings, 1)
         keep = share >= how.fraction
         es, ts = starts_of(ne), starts_of(nt)
         for k in np.flatnonzero(keep).tolist():
@@ -157,7 +165,7 @@ def overlapping_records(evaluation: DataFrame, training: DataFrame, how: Cutting
     tk = t.select(F.col("cls").alias("t"), F.explode("chunks").alias("chunk"))
     seen = tk.groupBy("chunk").agg(F.count("*").alias("df"))
     frequent_first = Window.partitionBy("e").orderBy(F.desc("df"), "chunk").rowsBetween(Window.unboundedPreceding, 0)
-    kept = ek.join(seen, "chunk", "left").withColumn("sofar", F.sum("size").over(frequent_first)).where((F.col("sofar") >= how.fraction * F.col("n")) & F.col("df").isNotNull())
+    kept = ek.join(seen, "chunk", "left").withColumn("sofar", F.sum("size").over(frequent_first)).where((F.col("sofar") >= how.fraction * how.cuttings * F.col("n")) & F.col("df").isNotNull())
     pairs = kept.select("e", "chunk").join(tk, "chunk").select("e", "t").distinct()
     full = pairs.join(e.select(F.col("cls").alias("e"), F.col("w").alias("we"), F.col("chunks").alias("ce"), F.col("sizes").alias("se")), "e").join(t.select(F.col("cls").alias("t"), F.col("w").alias("wt"), F.col("chunks").alias("ct")), "t")
     same_pairs = full.mapInArrow(lambda it: _verify(it, how, same), "e string, t string, share double")
