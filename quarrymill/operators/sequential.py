@@ -109,3 +109,57 @@ def linear_probe(df: DataFrame, features: str, label: Column, steps: int = 60, r
     x.unpersist()
     accuracy = sum(v[-1] for v in g) / sum(v[-2] for v in g)
     return df.sparkSession.createDataFrame([(float(accuracy), math.sqrt(float(w @ w)))], "accuracy double, norm double")
+
+
+def decontaminated(text: Column, hits: Column, window: int = 200, least: int = 200, most_hits: int = 10) -> Column:
+    """What is left of a text after cutting `window` characters around each hit (its start and end): slices over `least` characters, none from most_hits hits on."""
+
+    @F.pandas_udf("array<string>")
+    def cut(t: pd.Series, h: pd.Series) -> pd.Series:
+        def one(x, spans):
+            if x is None:
+                return None
+            spans = [] if spans is None else sorted((int(a), int(b)) for a, b in spans)
+            if not spans:
+                return [x]
+            if len(spans) >= most_hits:
+                return []
+            out, at = [], 0
+            for a, b in spans:
+                if a - window - at > least:
+                    out.append(x[at : a - window])
+                at = max(at, b + window)
+            return [*out, x[at:]] if len(x) - at > least else out
+
+        return pd.Series([one(x, s) for x, s in zip(t, h)])
+
+    return cut(text, hits)
+
+
+def bag_scores(predicted: Column, gold: Column) -> Column:
+    """Exact match and the best one-to-one alignment's F1 (percent, two decimals) of two lists of answers as word bags."""
+
+    @F.pandas_udf("struct<em:double,f1:double>")
+    def score(p: pd.Series, g: pd.Series) -> pd.DataFrame:
+        def f1(a, b):
+            both = len(a & b)
+            return 0.0 if not both else 2 * both / (len(a) + len(b))
+
+        def one(x, y):
+            a, b = [set(w.lower().split()) for w in x], [set(w.lower().split()) for w in y]
+            table = np.array([[f1(u, v) for v in b] for u in a]).reshape(len(a), len(b))
+            best = {0: 0.0}  # dynamic programme over the rows and the set of taken columns; answers have few parts
+            for row in table:
+                new = dict(best)
+                for taken, s in best.items():
+                    for j, v in enumerate(row):
+                        if not taken >> j & 1:
+                            k = taken | 1 << j
+                            new[k] = max(new.get(k, 0.0), s + v)
+                best = new
+            n = max(len(a), len(b), 1)
+            return float(sorted(map(sorted, a)) == sorted(map(sorted, b))), round(100 * max(best.values()) / n, 2)
+
+        return pd.DataFrame([one(x, y) for x, y in zip(p, g)], columns=["em", "f1"])
+
+    return score(predicted, gold)

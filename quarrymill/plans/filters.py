@@ -231,3 +231,17 @@ def p32(d):
 @query("p35_steps", "lineitem", "SELECT l_returnflag, ceil(count(*) / (8.0 * 4))::BIGINT * 3 AS steps FROM lineitem GROUP BY l_returnflag")
 def p35(x):
     return x.groupBy("l_returnflag").agg((F.ceil(F.count("*") / 32) * 3).alias("steps"))
+
+
+@query("w2_removed_before", "toxic_reddit", TAGGED + """, d AS (SELECT DISTINCT id, spans FROM t WHERE len(spans) > 0), e AS (SELECT id, unnest(spans) AS s, generate_subscripts(spans, 1) AS pos FROM d)
+ SELECT id, pos::BIGINT AS pos, coalesce(sum(CASE WHEN s.score > 0.5 THEN s.end - s.start + 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS removed FROM e""")
+def w2(t):
+    """Characters that excision removes before each span."""
+    one = tagged(t).where(F.size("spans") > 0).select("id", "spans").distinct()
+    gone = let(F.col("spans"), lambda s: F.transform(s, lambda x, i: F.aggregate(F.slice(s, F.lit(1), i), F.lit(0), lambda n, y: n + F.when(y["score"] > 0.5, y["end"] - y["start"] + 1).otherwise(0))))
+    return one.select("id", F.posexplode(gone).alias("p", "r")).select("id", (F.col("p") + 1).cast("bigint").alias("pos"), F.col("r").cast("bigint").alias("removed"))
+
+
+@query("b5_build_records", "paradetox", "SELECT DISTINCT pair_id::VARCHAR AS id, en_toxic_comment || chr(10) || en_neutral_comment AS text, 'paradetox/' || coalesce(split, '') AS source FROM paradetox WHERE en_toxic_comment IS NOT NULL AND en_neutral_comment IS NOT NULL")
+def b5(p):
+    return p.where("en_toxic_comment is not null and en_neutral_comment is not null").select(F.col("pair_id").cast("string").alias("id"), F.concat_ws("\n", "en_toxic_comment", "en_neutral_comment").alias("text"), F.concat(F.lit("paradetox/"), F.coalesce("split", F.lit(""))).alias("source")).distinct()

@@ -27,3 +27,18 @@ def agg30(p):
 @query("x9_linear_probe", "embeddings")
 def x9(e):
     return op.linear_probe(e, "embedding", F.col("label") == 0, steps=8)
+
+
+@query("a10_bag_alignment", "paradetox")
+def a10(p):
+    """Comma-separated parts of both comments as answers."""
+    some = p.where("en_toxic_comment is not null and en_neutral_comment is not null")
+    return some.select("pair_id", op.bag_scores(F.split("en_toxic_comment", ","), F.split("en_neutral_comment", ",")).alias("s")).select("pair_id", "s.em", "s.f1")
+
+
+@query("a3_clean_chunks", "documents")
+def a3_chunks(d):
+    """Texts without the surroundings of every mention of a listed phrase."""
+    at = F.locate("library", F.col("text"))
+    hits = F.when(at > 0, F.array(F.array(at - 1, at + 6))).otherwise(F.array().cast("array<array<int>>"))
+    return d.where("text is not null").select("doc_id", F.size(op.decontaminated(F.col("text"), hits)).alias("slices"))

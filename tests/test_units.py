@@ -82,6 +82,17 @@ def test_bleu(spark):
     assert sequential.corpus_bleu(df, "a", "b").first().bleu == pytest.approx(100)
 
 
+def test_cleaned_chunks(spark):
+    df = spark.createDataFrame([("a" * 700 + "HIT" + "b" * 700, [[700, 703]]), ("short HIT", [[6, 9]]), ("clean", []), (None, None)], "t string, h array<array<int>>")
+    got = [r[0] for r in df.select(sequential.decontaminated(F.col("t"), F.col("h"))).collect()]
+    assert got == [["a" * 500, "b" * 500], [], ["clean"], None]
+
+
+def test_bag_alignment(spark):
+    df = spark.createDataFrame([(["red lamp", "old rug"], ["old rug", "red lamp"]), (["a b"], ["a c"]), ([], ["x"])], "p array<string>, g array<string>")
+    assert [tuple(r[0]) for r in df.select(sequential.bag_scores(F.col("p"), F.col("g"))).collect()] == [(1.0, 100.0), (0.0, 50.0), (0.0, 0.0)]
+
+
 def test_token_files(spark, tmp_path):
     for k in (0, 1):
         np.arange(16 * k, 16 * k + 16 + k, dtype=np.uint16).tofile(tmp_path / f"{k}.bin")
