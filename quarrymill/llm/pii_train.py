@@ -1,4 +1,4 @@
-"""Trains the weights of quarrymill.llm.pii from labelled spans: python -m quarrymill.llm.pii_train OUT.npz TEXTS.parquet...
+"""Trains the weights of quarrymill.llm.pii from labelled spans: python -m quarrymill.llm.pii_train OUT.npz [START.npz] TEXTS.parquet...
 
 Labelled windows are made from patterns with marked places, mixed with stretches of real texts in which a strict
 annotator finds nothing; these stand for everything else, from order numbers to names of places. Training is plain
@@ -17,7 +17,7 @@ from quarrymill.llm.pii import CODES, GIVEN, KINDS, LABELS, PAD, STREETS, TITLES
 
 HIDDEN = 28
 LENGTH = 112
-STEPS = 2200
+STEPS = 900
 TEXT_LIMIT = 6000  # the bound on the sample of real texts
 
 # Parts of family names, streets and domains for made-up mentions.
@@ -140,14 +140,15 @@ def _email(r: random.Random) -> str:
     if k < 0.12:
         return f"{local}(at){d}"
     if k < 0.24:
-        return f"{local} at {d.replace('.', ' dot ')}"
+        at, dot = r.choice([(" at ", " dot "), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" [at] ", ".")])
+        return local + at + d.replace(".", dot)
     whole = f"{local}@{d}"
     return whole.upper() if k < 0.34 else whole
 
 
 def _phone(r: random.Random) -> str:
     a, b, c = r.randint(200, 989), r.choice([555, r.randint(200, 999)]), f"{r.randint(0, 9999):04d}"
-    return r.choice([f"+1 {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"{a}{b}{c}", f"+44 7700 900{r.randint(0, 999):03d}", f"020 7946 0{r.randint(0, 999):03d}", f"+44 20 7946 0{r.randint(0, 999):03d}", f"07700 900{r.randint(0, 999):03d}", f"+49 30 {r.randint(100000, 9999999)}", f"{a} {b} {c}"])
+    return r.choice([f"+1 {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"{a}{b}{c}", f"+44 7700 900{r.randint(0, 999):03d}", f"020 7946 0{r.randint(0, 999):03d}", f"+44 20 7946 0{r.randint(0, 999):03d}", f"07700 900{r.randint(0, 999):03d}", f"+49 30 {r.randint(100000, 9999999)}", f"+49 30 {r.randint(10000, 99999)} {r.randint(0, 999):03d}", f"{a} {b} {c}"])
 
 
 def _id(r: random.Random) -> str:
@@ -228,6 +229,11 @@ def batch(r: random.Random, plain: list[str], size: int) -> tuple[np.ndarray, np
             text, spans = r.choice(plain), []
         else:
             text, spans = made(r)
+            if r.random() < 0.25:  # in the middle of a sentence
+                more = r.choice(["and ", "but ", "so ", "then we heard that ", "the lamp and ", "well, "])
+                if not (spans and spans[0][0] == 0) and text[:3] not in ("SSN", "NI "):
+                    text = text[0].lower() + text[1:]
+                text, spans = more + text, [(a + len(more), b + len(more), k) for a, b, k in spans]
             lead = r.choice(plain)[-r.randint(0, 60) :] + r.choice([" ", "\n", "\n\n", "  "]) if r.random() < 0.8 else ""
             if r.random() < 0.04 and not any(k == 4 for *_, k in spans):
                 text = text.upper()
@@ -344,13 +350,18 @@ class Trainer:
         return float((z.sum() - gold) / size)
 
 
-def train(texts: list[str], out: str, steps: int = STEPS, seed: int = 7) -> None:
-    """Train on made-up windows and quiet stretches of at most TEXT_LIMIT real texts; writes the weights to out."""
+def train(texts: list[str], out: str, steps: int = STEPS, seed: int = 7, start: str | None = None, rate: float = 0.01) -> None:
+    """Train on made-up windows and quiet stretches of at most TEXT_LIMIT real texts; writes the weights to out.
+
+    The shipped weights come from 2600 steps at the default rate, then STEPS more from there (start) at rate 0.004.
+    """
     r = random.Random(seed)
     plain = quiet(texts[:TEXT_LIMIT], r)
     t = Trainer(seed)
+    if start:
+        t.p = {k: v.astype(np.float32) for k, v in np.load(start).items()}
     for k in range(steps):
-        loss = t.step(*batch(r, plain, 64), rate=0.01 * (1 if k < 0.4 * steps else 0.4 if k < 0.7 * steps else 0.12))
+        loss = t.step(*batch(r, plain, 64), rate=rate * (1 if k < 0.4 * steps else 0.4 if k < 0.7 * steps else 0.12))
         if k % 100 == 0:
             print(k, round(loss, 3), flush=True)
             np.savez_compressed(out, **{n: v.astype(np.float16) for n, v in t.p.items()})
@@ -360,4 +371,5 @@ def train(texts: list[str], out: str, steps: int = STEPS, seed: int = 7) -> None
 if __name__ == "__main__":
     import pyarrow.parquet as pq
 
-    train([x for f in sys.argv[2:] for x in pq.read_table(f, columns=["text"])["text"].to_pylist() if x and len(x) > 40], sys.argv[1])
+    again = {"start": sys.argv[2], "rate": 0.004, "seed": 8} if sys.argv[2].endswith(".npz") else {}
+    train([x for f in sys.argv[2 + bool(again) :] for x in pq.read_table(f, columns=["text"])["text"].to_pylist() if x and len(x) > 40], sys.argv[1], **again)
