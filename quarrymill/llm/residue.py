@@ -131,8 +131,15 @@ def messages(text: str) -> list[str]:
 
 
 def tokens(message: str) -> list[str]:
-    """The message's tokens with numbers masked; long messages keep the tokens of their beginning for the tree, which only needs those."""
-    return ["<num>" if _NUMBER.match(t) else t for t in _TOKENS.findall(message)][:MESSAGE_TOKENS]
+    """The message's tokens with numbers masked."""
+    return ["<num>" if _NUMBER.match(t) else t for t in _TOKENS.findall(message)]
+
+
+def pieces(t: list[str]) -> list[list[str]]:
+    """A token list as lists of at most MESSAGE_TOKENS that overlap by a third and cover it all."""
+    if len(t) <= MESSAGE_TOKENS:
+        return [t] if t else []
+    return [t[k : k + MESSAGE_TOKENS] for k in range(0, len(t) - MESSAGE_TOKENS // 3, MESSAGE_TOKENS * 2 // 3)]
 
 
 class PrefixTree:
@@ -153,14 +160,15 @@ class PrefixTree:
                 best, score = g, s
                 if s == 1.0:
                     break
-        if best >= 0 and (score >= SIMILAR or len(leaf) >= GROUPS_A_LEAF and score >= SIMILAR / 2):
+        if best >= 0 and score >= SIMILAR:
             if score < 1.0:
                 self.templates[best] = [a if a == b else WILD for a, b in zip(self.templates[best], t)]
             self.counts[best] += 1
             return best
         self.templates.append(list(t))
         self.counts.append(1)
-        leaf.append(len(self.templates) - 1)
+        if len(leaf) < GROUPS_A_LEAF:  # a full leaf takes no more groups; further messages are templates by themselves
+            leaf.append(len(self.templates) - 1)
         return len(self.templates) - 1
 
 
@@ -198,11 +206,9 @@ def _mine(batches):
         slotted = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for m in messages(text):
-                t = tokens(m)
-                if not t:
-                    continue
-                docs.append(i)
-                groups.append(tree.add(t))
+                for t in pieces(tokens(m)):
+                    docs.append(i)
+                    groups.append(tree.add(t))
                 if any(c in m for c in "{[<%_X") or "undefined" in m or "NaN" in m or "null" in m:
                     if unresolved(m):
                         slotted.append(i)
@@ -222,9 +228,8 @@ def _verdicts(batches):
 def residue_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id and kinds (sorted: error, filler, script, slot) of every document with left-over text.
 
-    Null keys, null, empty and blank texts have none. Rows that repeat a key count once. Texts are read whole; only the
-    matching of templates looks at a message's first MESSAGE_TOKENS tokens, slots are sought in all of it. An empty
-    table gives an empty result; other columns are ignored.
+    Null keys, null, empty and blank texts have none. Rows that repeat a key count once. Texts are read whole; long
+    messages enter the tree as overlapping pieces. An empty table gives an empty result; other columns are ignored.
     """
     narrow = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     from quarrymill.session import cut
