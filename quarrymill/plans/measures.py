@@ -9,6 +9,7 @@ from quarrymill.functions import arrays as ar
 from quarrymill.functions import spans as sp
 from quarrymill.operators import filters as fl
 from quarrymill.operators import measures as op
+from quarrymill.operators.ordering import running
 from quarrymill.plans.arrays import EOS, ITEMS, items
 from quarrymill.plans.filters import TAGGED, tagged
 from quarrymill.plans.ordering import UNIT
@@ -150,8 +151,8 @@ def agg16(w):
 @query("agg17_thirds", "civil_comments", "WITH r AS (SELECT toxicity, row_number() OVER (ORDER BY comment_id, toxicity) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT comment_id, toxicity FROM civil_comments)) SELECT k // (n // 3) AS block, round(avg(toxicity), 6) AS mean FROM r WHERE k < (n // 3) * 3 GROUP BY 1")
 def agg17(c):
     one = c.select("comment_id", "toxicity").distinct()
-    every = Window.partitionBy()
-    r = one.withColumn("k", F.row_number().over(Window.orderBy("comment_id", F.asc_nulls_last("toxicity"))) - 1).withColumn("n", F.floor(F.count("*").over(every) / 3))
+    third = one.agg(F.floor(F.count("*") / 3).alias("n"))
+    r = running(one, F.lit(1), ["comment_id", F.asc_nulls_last("toxicity")], F.floor(F.col("comment_id") / 64), "k").crossJoin(F.broadcast(third))
     return r.where("k < n * 3").groupBy(F.floor(F.col("k") / F.col("n")).alias("block")).agg(F.round(F.avg("toxicity"), 6).alias("mean"))
 
 
