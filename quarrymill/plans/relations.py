@@ -117,6 +117,12 @@ def j11(_, e):
     return e.withColumn("chunk", F.floor(F.col("event_id") / 1000)).where("chunk between 0 and 9").groupBy("chunk").agg(F.count("*").alias("n"))
 
 
+@query("j11_every_index", "events", "WITH c AS (SELECT unnest(range(floor(lo / 1000)::BIGINT, floor(hi / 1000)::BIGINT + 1)) AS chunk FROM (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)) SELECT chunk, count(*)::BIGINT AS n FROM events JOIN c ON event_id >= chunk * 1000 AND event_id < (chunk + 1) * 1000 GROUP BY chunk")
+def j11_every(e):
+    """j11_range_assignment over as many ranges as the ids take, so that every index gets its chunk."""
+    return e.where("event_id is not null").withColumn("chunk", F.floor(F.col("event_id") / 1000)).groupBy("chunk").agg(F.count("*").alias("n"))
+
+
 @query("b7_few_shot_selection", "wildguard", "WITH w AS (SELECT DISTINCT item_id FROM wildguard), x AS (SELECT a.item_id AS query_id, b.item_id, row_number() OVER (PARTITION BY a.item_id ORDER BY md5(a.item_id::VARCHAR || ':' || b.item_id::VARCHAR)) AS r FROM w a JOIN w b ON a.item_id <> b.item_id WHERE b.item_id <= 40) SELECT query_id, item_id FROM x WHERE r <= 3")
 def b7(w):
     """Three demonstrations for each query out of a fixed pool of 40, never the query itself."""

@@ -127,3 +127,16 @@ def test_nothing_else_imports_llm():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "quarrymill.llm" not in f.read_text(), f
+
+
+def test_every_index_gets_a_chunk(spark):
+    """Ids beyond the first ten ranges count too, and the SQL of the query says the same."""
+    import duckdb
+
+    from quarrymill.plans import registry, relations
+
+    ids = [0, 999, 1000, 9999, 10_000, 25_500, 99_999]
+    got = {tuple(r) for r in relations.j11_every(spark.createDataFrame([(k,) for k in [*ids, None]], "event_id bigint")).select("chunk", "n").collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE TABLE events AS SELECT unnest({[*ids]})::BIGINT AS event_id")
+    assert got == set(c.execute(registry.oracle_sql()["j11_every_index"]).fetchall()) == {(0, 2), (1, 1), (9, 1), (10, 1), (25, 1), (99, 1)}
