@@ -240,3 +240,9 @@ def a18(i):
 @query("a19_char_tokens", "wildguard", "SELECT item_id, array_to_string([ascii(c)::VARCHAR for c in string_split(substr(prompt, 1, 40), '')], ',') AS ids FROM wildguard WHERE prompt IS NOT NULL")
 def a19(w):
     return w.where("prompt is not null").select("item_id", F.array_join(F.transform(F.filter(F.split(F.substring("prompt", 1, 40), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ",").alias("ids"))
+
+
+@query("a19_whole_prompts", "wildguard", "SELECT item_id, array_to_string([ascii(c)::VARCHAR for c in string_split(prompt, '')], ',') AS ids FROM wildguard WHERE prompt IS NOT NULL")
+def a19_whole(w):
+    """a19_char_tokens over the whole prompt."""
+    return w.where("prompt is not null").select("item_id", F.array_join(F.transform(F.filter(F.split("prompt", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ",").alias("ids"))

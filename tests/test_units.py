@@ -140,3 +140,11 @@ def test_every_index_gets_a_chunk(spark):
     c = duckdb.connect()
     c.execute(f"CREATE TABLE events AS SELECT unnest({[*ids]})::BIGINT AS event_id")
     assert got == set(c.execute(registry.oracle_sql()["j11_every_index"]).fetchall()) == {(0, 2), (1, 1), (9, 1), (10, 1), (25, 1), (99, 1)}
+
+
+def test_whole_prompts_are_tokenized(spark):
+    from quarrymill.plans import arrays as plans
+
+    prompt = "né😀" + "x" * 60
+    got = plans.a19_whole(spark.createDataFrame([(1, prompt), (2, None), (3, "")], "item_id int, prompt string")).collect()
+    assert {r.item_id: r.ids for r in got} == {1: ",".join(str(ord(c)) for c in prompt), 3: ""}
