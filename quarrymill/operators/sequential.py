@@ -111,6 +111,22 @@ def linear_probe(df: DataFrame, features: str, label: Column, steps: int = 60, r
     return df.sparkSession.createDataFrame([(float(accuracy), math.sqrt(float(w @ w)))], "accuracy double, norm double")
 
 
+def word_spans(text: Column, at: Column, n: int) -> Column:
+    """Start and end in characters of the n words (separated by single blanks) from each of the given word positions on; none for null positions."""
+
+    @F.pandas_udf("array<array<int>>")
+    def spans(t: pd.Series, a: pd.Series) -> pd.Series:
+        def one(x, places):
+            if x is None or places is None:
+                return []
+            ends = np.cumsum([len(w) + 1 for w in x.split(" ")]) - 1
+            return [[int(ends[k - 1]) + 1 if k else 0, int(ends[k + n - 1])] for k in sorted(places)]
+
+        return pd.Series([one(x, p) for x, p in zip(t, a)])
+
+    return spans(text, at)
+
+
 def decontaminated(text: Column, hits: Column, window: int = 200, least: int = 200, most_hits: int = 10) -> Column:
     """What is left of a text after cutting `window` characters around each hit (its start and end): slices over `least` characters, none from most_hits hits on."""
 

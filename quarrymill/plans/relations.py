@@ -67,6 +67,12 @@ def grams(df, key, text, n=8):
     return df.where(F.col(text).isNotNull()).select(key, w.alias("w")).where(F.size("w") >= n).select(key, F.explode(F.transform(ar.ngrams(F.col("w"), n), lambda g: F.array_join(g, " "))).alias("gram"))
 
 
+def placed_grams(df, key, text, n=8):
+    """grams() with the position of the n-gram's first word."""
+    w = F.split(F.lower(F.col(text)), " ")
+    return df.where(F.col(text).isNotNull()).select(key, w.alias("w")).where(F.size("w") >= n).select(key, F.posexplode(F.transform(ar.ngrams(F.col("w"), n), lambda g: F.array_join(g, " "))).alias("at", "gram"))
+
+
 CONT = f"WITH p AS (SELECT item_id, unnest({GRAMS}) AS gram FROM (SELECT item_id, {WORDS.format('prompt')} AS w FROM wildguard WHERE prompt IS NOT NULL) WHERE len(w) >= 8), d AS (SELECT doc_id, unnest({GRAMS}) AS gram FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 8) "
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import sequential as op
 from quarrymill.plans.arrays import items
 from quarrymill.plans.registry import query
+from quarrymill.plans.relations import grams, placed_grams
 
 
 @query("f19_periodic", "input_ids")
@@ -36,9 +37,10 @@ def a10(p):
     return some.select("pair_id", op.bag_scores(F.split("en_toxic_comment", ","), F.split("en_neutral_comment", ",")).alias("s")).select("pair_id", "s.em", "s.f1")
 
 
-@query("a3_clean_chunks", "documents")
-def a3_chunks(d):
-    """Texts without the surroundings of every mention of a listed phrase."""
-    at = F.locate("library", F.col("text"))
-    hits = F.when(at > 0, F.array(F.array(at - 1, at + 6))).otherwise(F.array().cast("array<array<int>>"))
-    return d.where("text is not null").select("doc_id", F.size(op.decontaminated(F.col("text"), hits)).alias("slices"))
+@query("a3_clean_chunks", "wildguard documents")
+def a3_chunks(w, d):
+    """Texts without the surroundings of every n-gram of the prompts in them (those that a3_hits_per_document counts)."""
+    own = d.where("text is not null").select("doc_id", "text", F.md5("text").alias("digest"))
+    hits = placed_grams(own, "digest", "text").join(grams(w, "item_id", "prompt").select("gram").distinct(), "gram", "left_semi").groupBy("digest").agg(F.collect_set("at").alias("at"))
+    spans = op.word_spans(F.col("text"), F.col("at"), 8)
+    return own.join(hits, "digest", "left").select("doc_id", F.size(op.decontaminated(F.col("text"), spans)).alias("slices"))

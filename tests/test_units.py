@@ -148,3 +148,21 @@ def test_whole_prompts_are_tokenized(spark):
     prompt = "né😀" + "x" * 60
     got = plans.a19_whole(spark.createDataFrame([(1, prompt), (2, None), (3, "")], "item_id int, prompt string")).collect()
     assert {r.item_id: r.ids for r in got} == {1: ",".join(str(ord(c)) for c in prompt), 3: ""}
+
+
+def test_every_prompt_ngram_is_cut_out(spark):
+    from quarrymill.plans import udfs
+
+    prompt = "How do I Mend the old brass Lamp today"
+    fill = "word " * 100
+    rows = [(1, fill + prompt.upper() + " " + fill + fill + prompt + " " + fill), (1, "clean"), (2, (prompt + " ") * 5 + fill), (3, "library " * 3), (None, fill + prompt), (4, None)]
+    got = udfs.a3_chunks(spark.createDataFrame([(7, prompt), (8, "too short"), (9, None)], "item_id int, prompt string"), spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    # 9 words are two 8-grams: document 1 has four hits, which leave three slices, document 2 at least ten, which leave none
+    assert sorted((r.doc_id or 0, r.slices) for r in got) == [(0, 1), (1, 1), (1, 3), (2, 0), (3, 1)]
+
+
+def test_word_spans(spark):
+    x = "ab  c dé f"
+    df = spark.createDataFrame([(x, [3, 0]), (x, None), (None, [0])], "t string, a array<int>")
+    got = [r[0] for r in df.select(sequential.word_spans(F.col("t"), F.col("a"), 2)).collect()]
+    assert [[x[a:b] for a, b in got[0]], got[1], got[2]] == [["ab ", "dé f"], [], []]
