@@ -2,8 +2,9 @@
 
 Records are cut into sentences and lines. A fixed-depth prefix tree (length, then the first two tokens, then groups of
 similar token lists) mines message templates from them: where messages of a group differ, the template has a
-wildcard. Each distinct template is classified once, whatever the number of its messages, and the verdict goes to all
-records with a message of it. Unresolved slots, which stand inside otherwise ordinary messages, are looked for in the
+wildcard. Every distinct message of a tree is classified before it is widened, and only messages of one verdict share
+a group, so that no wildcard hides the word that decides. Templates of messages without a verdict are classified as
+well, once each. A verdict goes to all records with a message of the group. Unresolved slots, which stand inside otherwise ordinary messages, are looked for in the
 messages themselves, unless the message talks about the notation or is code.
 """
 
@@ -143,16 +144,26 @@ def pieces(t: list[str]) -> list[list[str]]:
 
 
 class PrefixTree:
-    """Fixed depth: number of tokens, then the first DEPTH tokens, then groups of token lists of that length."""
+    """Fixed depth: verdict, number of tokens, the first DEPTH tokens, then groups of token lists of that length."""
 
     def __init__(self):
         self.leaves: dict[tuple, list[int]] = {}
         self.templates: list[list[str]] = []
         self.counts: list[int] = []
+        self.kinds: list[str | None] = []
+        self.verdicts: dict[str, str | None] = {}
+
+    def verdict(self, t: list[str]) -> str | None:
+        """classify() of a message, once for each distinct one."""
+        name = " ".join(t)
+        if name not in self.verdicts:
+            self.verdicts[name] = classify(name)
+        return self.verdicts[name]
 
     def add(self, t: list[str]) -> int:
         """The group of a token list; a new one unless one of the leaf is similar enough, whose template is then widened."""
-        leaf = self.leaves.setdefault((len(t), *t[:DEPTH]), [])
+        kind = self.verdict(t)
+        leaf = self.leaves.setdefault((kind, len(t), *t[:DEPTH]), [])
         best, score = -1, -1.0
         for g in leaf:
             s = sum(map(str.__eq__, self.templates[g], t)) / len(t)
@@ -167,6 +178,7 @@ class PrefixTree:
             return best
         self.templates.append(list(t))
         self.counts.append(1)
+        self.kinds.append(kind)
         if len(leaf) < GROUPS_A_LEAF:  # a full leaf takes no more groups; further messages are templates by themselves
             leaf.append(len(self.templates) - 1)
         return len(self.templates) - 1
@@ -188,7 +200,7 @@ def unresolved(message: str) -> bool:
 
 
 def _mine(batches):
-    """Rows (doc_id, template or null, slot): the messages' templates, known once the tree has seen all messages."""
+    """Rows (doc_id, template or null, kind, slot): the messages' templates, known once the tree has seen all messages."""
     tree, docs, groups = PrefixTree(), [], []
 
     def flush():
@@ -196,8 +208,8 @@ def _mine(batches):
         # template rows first become distinct pairs of document and template
         pairs = sorted(set(zip(docs, groups)))
         out = pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in pairs], type=pa.int64()), pa.array([names[g] for _, g in pairs], type=pa.string()), pa.array([False] * len(pairs))],
-            names=["doc_id", "template", "slot"],
+            [pa.array([d for d, _ in pairs], type=pa.int64()), pa.array([names[g] for _, g in pairs], type=pa.string()), pa.array([tree.kinds[g] for _, g in pairs], type=pa.string()), pa.array([False] * len(pairs))],
+            names=["doc_id", "template", "kind", "slot"],
         )
         docs.clear(), groups.clear()
         return out
@@ -213,7 +225,7 @@ def _mine(batches):
                     if unresolved(m):
                         slotted.append(i)
         if slotted:
-            yield pa.RecordBatch.from_arrays([pa.array(slotted, type=pa.int64()), pa.nulls(len(slotted), pa.string()), pa.array([True] * len(slotted))], names=["doc_id", "template", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(slotted, type=pa.int64()), pa.nulls(len(slotted), pa.string()), pa.array(["slot"] * len(slotted)), pa.array([True] * len(slotted))], names=["doc_id", "template", "kind", "slot"])
         if len(docs) > TREE_MESSAGES:
             yield flush()
             tree = PrefixTree()
@@ -234,7 +246,8 @@ def residue_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     narrow = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     from quarrymill.session import cut
 
-    mined = cut(narrow.mapInArrow(_mine, "doc_id bigint, template string, slot boolean"), "templates")
-    kinds = mined.where("not slot").select("template").distinct().mapInArrow(_verdicts, "template string, kind string").where("kind is not null")
-    told = mined.where("not slot").join(kinds, "template").select("doc_id", "kind")
-    return told.unionByName(mined.where("slot").select("doc_id", F.lit("slot").alias("kind"))).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    mined = cut(narrow.mapInArrow(_mine, "doc_id bigint, template string, kind string, slot boolean"), "templates")
+    open_ = mined.where("kind is null").select("doc_id", "template")
+    kinds = open_.select("template").distinct().mapInArrow(_verdicts, "template string, kind string").where("kind is not null")
+    told = open_.join(kinds, "template").select("doc_id", "kind")
+    return told.unionByName(mined.where("kind is not null").select("doc_id", "kind")).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

@@ -61,6 +61,16 @@ def test_templates_widen_where_messages_differ():
     assert len(groups) == 1 and "<*>" in tree.templates[0]
 
 
+def test_ordinary_messages_hide_no_residue(spark):
+    """Messages that differ from residue in the deciding word stay out of its template, whichever comes first."""
+    pairs = [("Please enable JavaScript to continue.", "Please enable cookies to continue."), ("Page not found.", "Page not loading."), ("404 Not Found", "404 Not Allowed"), ("JavaScript is disabled.", "JavaScript is fun."), ("Internal server error", "Internal server room")]
+    want = {2 * k for k in range(5)} | {1}
+    rows = [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "doc_id bigint, text string").coalesce(1)
+        assert {r.doc_id for r in residue.residue_documents(df, "doc_id", "text").collect()} == want
+
+
 def test_mentions(spark):
     text = "Write to me at jane.doe@example.com or ring +44 7700 900123. It belongs to Yusuf Tarrowick.\nI live at 12 Larkspur Road and SSN 978-06-6481 was on it. 😀 Ask for Mrs. Quillski at the tunnel."
     kinds = {"email": "jane.doe", "phone": "+44", "name": "Yusuf", "address": "12 Larkspur", "id_number": "978-06"}
