@@ -53,6 +53,41 @@ def test_near_duplicates_find_every_pair(spark):
     assert {r.id: r.class_id for r in report}["copy"] == {r.id: r.class_id for r in report}["k000"]
 
 
+def whole_groups(pairs):
+    """The smallest member of each node's component, by union-find."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {x: top(x) for x in list(up)}
+
+
+def test_groups_join_edited_records(spark):
+    rows = [(f"k{i:03d}", t) for i, t in enumerate(texts(1))] + [("copy", texts(1)[0].upper() + "!!")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    report = {r.id: r for r in near_duplicates.near_duplicate_report(df, "id", "text").collect()}
+    want = whole_groups((a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if alike(x, y))
+    assert any(report[x].class_id != report[g].class_id for x, g in want.items())
+    assert {x: r.group_id for x, r in report.items()} == {x: want.get(x, x) for x in report}
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(4)
+    names = [f"n{k:02d}" for k in range(60)]
+    r.shuffle(names)
+    links = list(zip(names[:24], names[1:25])) + [(names[25], x) for x in names[26:36]] + [tuple(r.sample(names[36:], 2)) for _ in range(16)]
+    links = [tuple(sorted(x)) for x in links]
+    got = near_duplicates.components(spark.createDataFrame(links, "a string, b string")).collect()
+    want = whole_groups(links)
+    assert sorted((x.class_id, x.group_id) for x in got) == sorted((x, g) for x, g in want.items() if x != g)
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert near_duplicates.near_duplicate_pairs(df, "id", "text").count() == 0
