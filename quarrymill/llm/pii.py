@@ -58,14 +58,27 @@ _AFTER = re.compile(r",? (?:\w[\w'’.-]* ){1,4}?(?i:" + "|".join(STREETS) + r")
 _BEFORE = re.compile(r"(?i)(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|damm|ufer|\b(?:calle|avenida|via|rua|plaza|paseo) \w+,?|\b(?:flat|unit|apt|suite|apartment|po box|postfach)) $")
 _WORD = re.compile(r"\w+")
 _SOCIAL = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}\b")  # three, two and four digits: no phone number has this shape
-_TWO = re.compile(r"\b[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’-]+,? (?:[A-Z]\. ?)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’-]+")
+_AT = [f"at{x}" for x in (")", "]", "}", " )", " ]", " }")] + [" dot "]
+
+
+def _class(test) -> str:
+    """The characters below 0x10000 that pass the test, as ranges for a character class."""
+    found = [c for c in range(0x10000) if test(chr(c))]
+    starts = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+_CAPITAL, _REST = f"[{_class(lambda c: c.isupper() or c.istitle())}]", f"[{_class(str.islower)}'’-]"
+#: Every pair, also those that overlap: the first word may be no name, and the next pair one.
+_TWO = re.compile(rf"\b(?=({_CAPITAL}{_REST}+,? (?:{_CAPITAL}\. ?)?{_CAPITAL}{_REST}+))")
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """The places where a mention can be. A place is cheap to find: most texts only pay for their numbers and a look at their words."""
     out = []
     low = text.lower()
-    if "@" in text or "at)" in low or " at)" in low or "at]" in low or " dot " in low:
+    if "@" in text or any(x in low for x in _AT):
         out += [m.span() for m in _MAIL.finditer(text)]
     for m in _NUMBER.finditer(text):
         s, e = m.span()
@@ -81,9 +94,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
     if not _PEOPLE.isdisjoint(low.translate(_SPACED).split()):
         out += [(max(0, m.start() - 16), min(len(text), m.end() + 16)) for m in _WORD.finditer(text) if m.group().lower() in _PEOPLE]
     for m in _TWO.finditer(text):
-        a, _, b = m.group().partition(" ")
+        a, _, b = m.group(1).partition(" ")
         if a.strip(",").lower() not in _PLAIN and b.lower() not in _PLAIN:
-            out.append(m.span())
+            out.append(m.span(1))
     out.sort()
     return out
 

@@ -71,6 +71,13 @@ def test_ordinary_messages_hide_no_residue(spark):
         assert {r.doc_id for r in residue.residue_documents(df, "doc_id", "text").collect()} == want
 
 
+@pytest.mark.parametrize("place", ["Tamsin Okafor", "Łukasz Żak", "Тамсин Окафор", "Tamsin Ł. Okafor", "quill (at ) lamp", "quill [ at ] lamp", "quill {at} lamp", "quill{at }lamp"])
+def test_places_of_names_and_mails(place):
+    text = f"nobody said so. Thanks {place} for it."
+    start = text.index(place)
+    assert any(a <= start and b >= start + len(place) for a, b in pii.candidates(text))
+
+
 def test_mentions(spark):
     text = "Write to me at jane.doe@example.com or ring +44 7700 900123. It belongs to Yusuf Tarrowick.\nI live at 12 Larkspur Road and SSN 978-06-6481 was on it. 😀 Ask for Mrs. Quillski at the tunnel."
     kinds = {"email": "jane.doe", "phone": "+44", "name": "Yusuf", "address": "12 Larkspur", "id_number": "978-06"}
