@@ -1,33 +1,48 @@
 """Template residue, filler, error pages and script notices (problem 9).
 
-Records are cut into sentences and lines. A fixed-depth prefix tree (length, then the first two tokens, then groups of
-similar token lists) mines message templates from them: where messages of a group differ, the template has a
-wildcard. Every distinct message of a tree is classified before it is widened, and only messages of one verdict share
-a group, so that no wildcard hides the word that decides. Templates of messages without a verdict are classified as
-well, once each. A verdict goes to all records with a message of the group. Unresolved slots, which stand inside otherwise ordinary messages, are looked for in the
-messages themselves, unless the message talks about the notation or is code.
+Records are cut into sentences and lines. A message that holds none of the cue words below can't be told to be
+residue by any rule here; it ends there (a search for all cue words at once finds that out). The others are reduced to
+tokens with numbers masked, and a fixed-depth prefix tree over the whole collection mines their templates: its inner
+levels are the number of tokens, the first tokens and the cue words in their order, so that messages of a group agree
+in every word a verdict can rest on; within a leaf, token lists that are alike become one template, with a wildcard
+wherever they differ. The distinct messages are counted first, so a notice that stands in a third of all documents is
+one message; each leaf is mined as one stream.
+
+Each template is classified once, on what its words say and on the evidence it carries over the collection: the number
+of documents, the share of a document its messages make up, and the wildcards, which are the places a generator fills.
+Clear wording is enough by itself; wording that ordinary text shares needs evidence. The verdicts go back to all
+documents of the template.
+
+Unresolved slots stand inside otherwise ordinary messages; they are looked for in the messages themselves, unless the
+message talks about the notation or is code.
 """
 
 from __future__ import annotations
 
 import re
+from http import HTTPStatus
 
+import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.session import cut
+
 DEPTH = 2
 SIMILAR = 0.6
-GROUPS_A_LEAF = 60
-TREE_MESSAGES = 200_000
 MESSAGE_TOKENS = 60
+RECURS = 3
+SHARE = 0.5
+SHORT = 14
 WILD = "<*>"
 
-_ENDS = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\r\n  ]+")
+_ENDS = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\r\n\u2028\u2029]+")
 _TOKENS = re.compile(r"/[\w./-]{2,}|\d+|\w+|[^\w\s]")
 _NUMBER = re.compile(r"\d+$")
 
-# Words of error pages, script notices and filler in the languages of the corpus, as patterns on lower-case templates.
+# Wordings of error pages, script notices and filler that are clear by themselves, as patterns on lower-case templates.
 ERRORS = r"""
 ^(http )?(error|erreur|fehler|ошибка|错误) (code )?(<num>|<\*>)\b
 ^(<num>|404|403|500|502|503|504) (forbidden|not found|bad gateway|service|internal|gateway|unauthorized|moved|unavailable|error|too many)
@@ -89,10 +104,32 @@ FILLER = r"""
 ^(click|tap) (here )?to (edit|add) (text|title|this)
 ^x{12,}
 """
+
+# Words of notices in several languages, by the part they play. A notice joins a thing with what is wrong or wanted.
+PLACES = "page site website webpage url server resource document link file seite webseite página sitio servidor page serveur pagina sito sayfa sunucu страница сайт сервер 页面 网页 网站 服务器".split()
+FAULTS = """not found|does not exist|doesn ' t exist|no longer exists|no longer available|not available|unavailable|could not be found|cannot be found|can ' t be found|could not be loaded|failed to load
+has been removed|is gone|permanently removed|timed out|nicht gefunden|nicht verfügbar|existiert nicht|nicht erreichbar|introuvable|indisponible|n ' existe pas|n ' existe plus|no encontrada|no encontrado|no existe|no disponible|no se encuentra
+non trovata|non trovato|non disponibile|non esiste|bulunamadı|mevcut değil|não encontrada|não existe|niet gevonden|не найдена|не найден|не существует|недоступна|недоступен|找不到|不存在|未找到|无法访问""".replace("\n", "|").split("|")
+SCRIPT_WORDS = "javascript|java script|cookies|scripts|скрипты|脚本".split("|")
+WANTED = """enable|enabled|turn on|turned off|switch on|switched off|activate|allow|required|requires|needs|disabled|blocked|on in your|aktivieren|aktiviert|einschalten|deaktiviert|benötigt|activer|activez|désactivé|requis|nécessaire|habilitar|habilite|activar|active
+desactivado|necesario|attivare|attiva|abilitare|abilita|disattivato|richiesto|etkinleştirin|gerekli|devre dışı|включите|включить|отключен|требуется|разрешите|启用|开启|打开|需要|禁用""".replace("\n", "|").split("|")
+BROWSER = "your browser|ihrem browser|ihr browser|votre navigateur|su navegador|tu navegador|tuo browser|tarayıcı|браузер|浏览器|view this|use this|this site|this page|this app|to continue|refresh|reload".split("|")
+FILL = "insert enter add type write put place your".split()
+FILLED = "headline title subtitle text heading caption description content paragraph name image logo date message copy tagline summary bio quote".split()
+HERE = "here hier ici aquí qui buraya здесь 此处".split()
+LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
+#: Words of somebody who tells something in own words; a template of weak wording with one of them is ordinary.
+TOLD = re.compile(r"\b(i|i ' m|we|my|our|me|us|he|she|they|who|someone|somebody|everyone|said|told|ich|wir|mein|je|nous|mon|yo|nosotros|io|noi|ben|я|мы|我|我们|without|why|how|what|if|when|because|instead|would|used to)\b")
+# Notations of slots.
 SLOTS = r"""
-\{\{\s*[\w.@]+\s*\}\}
+\{\{\{?\s*[\w.@ -]{1,40}\s*\}?\}\}
+\{%-?\s*[\w.@ -]{1,40}\s*-?%\}
+(?<![\w$`/={:(\[])\{(?:[a-z]+(?:[_.][a-z]+)+|[A-Z]+(?:_[A-Z]+)*|[a-z]+[A-Z]\w*|name|user|email|date|city|company|product|title)\}(?![\w`}])
 %%\s*[A-Z_]+\s*%%
+(?<!\w)%\([a-z_]+\)s
 <%=?\s*@?[\w.]+\s*%>
+<<\s*[A-Za-z_]{3,}(?: [A-Za-z_]+)*\s*>>
+\[\[\s*[A-Za-z_]{3,}\s*\]\](?=[,!.?]|$)
 \[(?:First|Last|Full|Your|Company|Customer|User|Club|Event|Store|City)(?: ?[A-Za-z]+)*\]
 \[(?:Location|Name|Date|City|Company|Address|Email|Phone|Title|Venue)\]
 \[[A-Z]{3,}(?: [A-Za-z]+)*\]
@@ -105,10 +142,14 @@ SLOTS = r"""
 \[object Object\]
 ^(?:NaN|undefined|null) \w+ (?:in stock|reviews)
 \bundefined reviews\b
+^(?:dear|hi|hello) (?:undefined|null)\b
 """
+# Words of text about the notation.
 ABOUT = r"""
 \b(escape|syntax|template engine|templates?|placeholders?|config|configuration|variable|function|returns?|notation|brackets?|regex|parser|render(?:s|ing)?|docs?|documentation|macro|snippet|bug|printers|as filler)\b
 """
+#: Somebody is addressed by the slot itself: then nothing is said about the notation.
+GREETING = r"(?:^|[.!?:] )(?:dear|hi|hello|hey|welcome|thanks|thank you|good morning|hallo|liebe[r]?|bonjour|cher|chère|hola|estimad[oa]|ciao|caro|olá|merhaba|здравствуйте|привет|уважаем\w+|你好|您好)\b[^`\"“„]{0,60}$"
 CODE = r"""=>|`|;\s*$|^\s*(?:def|const|let|var|for|if|import|export|return|cp|mv|echo|set|print|SELECT|FROM|GROUP|#)\b.*[(){}=;$/]|^\s*(?:cp|mv|echo|cat|rm|ls) |\$\w+ ?=|\)\s*\{"""
 
 
@@ -123,12 +164,51 @@ def _any(block: str, flags: int = 0, titled: bool = False) -> re.Pattern:
 
 
 _ERROR, _SCRIPT, _FILL = _any(ERRORS, titled=True), _any(SCRIPTS, titled=True), _any(FILLER, titled=True)
-_SLOT, _ABOUT, _CODE = _any(SLOTS), _any(ABOUT, re.I), re.compile(CODE)
+_SLOT, _ABOUT, _CODE, _GREETING = _any(SLOTS, re.M), _any(ABOUT, re.I), re.compile(CODE), re.compile(GREETING, re.I)
+_REASON = "|".join(sorted({re.escape(s.phrase.lower().replace("'", " ' ")) for s in HTTPStatus if s >= 400}, key=len, reverse=True))
+_STATUS = re.compile(rf"(?:^|\b(?:http|error|code|status) ?:? ?)<num> ?[-:|–—]? ?(?:{_REASON})\b|^(?:http )?(?:{_REASON})(?: \( ?<num> ?\))? ?[.!]?$")
+
+
+def _words(found: list[str]) -> re.Pattern:
+    return re.compile("|".join(rf"\b{re.escape(w)}\b" if w.isascii() else re.escape(w) for w in sorted(found, key=len, reverse=True)))
+
+
+_PLACE, _FAULT, _SCRIPTED, _WANT, _BROWSER = _words(PLACES), _words(FAULTS), _words(SCRIPT_WORDS), _words(WANTED), _words(BROWSER)
+_FILLED = re.compile(rf"\b(?:{'|'.join(FILL)})\b (?:(?:a|an|the|your|our|some|short|brief|main|sub)\b ?)*(?:{'|'.join(FILLED)})\b(?: \w+){{0,3}} (?:{'|'.join(HERE)})\b")
+# Further words that the clear wordings rest on.
+CLEAR = """error erreur fehler ошибка 错误 forbidden gateway internal unauthorized moved service too|many access|denied zugriff|verweigert accès|refusé acceso|denegado доступ permission connect requested temporarily
+overloaded retry oops traceback warning fatal notice parse session expired log|in|again be|back|soon maintenance something|went|wrong rencontré can't|find can’t|find javascript java|script script scripts scripting
+скрипт checking|your|browser todo tbd asdf qwer button|label sample|text dummy placeholder body|text caption goes|here in|this|box below answer replace|this to|edit to|add xxxx""".replace("|", " | ").split()
+
+
+def _cues() -> list[str]:
+    words = [w.replace(" | ", " ") for w in " ".join(CLEAR).replace(" | ", "|").split()]
+    words = [w.replace("|", " ") for w in words]
+    more = [w.replace(" ' ", "'") for w in FAULTS] + SCRIPT_WORDS + [s.phrase.lower() for s in HTTPStatus if s >= 400] + ["lorem ipsum", "headline", "title", "found", "exist", "page", "site", "server", "seite", "página", "страница", "页面", "网页"]
+    more += [f"{b} {c}" for b in FILLED for c in HERE] + [w for w in HERE if not w.isascii()]
+    return sorted({*words, *more, *(w.replace("'", "’") for w in more if "'" in w)})
+
+
+CUES = _cues()
+#: Tokens that a verdict can rest on; the tree never widens them.
+_FIXED = {t for w in [*CUES, *PLACES, *FAULTS, *SCRIPT_WORDS, *WANTED, *BROWSER, *FILL, *FILLED, *HERE, *LATIN] for t in _TOKENS.findall(w.lower())} | {"<num>"}
+_automaton: list = []
+
+
+def cue_search():
+    """The automaton over all cue words, built once a process."""
+    if not _automaton:
+        a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in CUES:
+            a.add_word(w)
+        a.make_automaton()
+        _automaton.append(a)
+    return _automaton[0]
 
 
 def messages(text: str) -> list[str]:
     """The sentences and lines of a text, without quoting marks and blank ones."""
-    return [m for m in (x.strip(" \t　>*#-﻿​ ") for x in _ENDS.split(text)) if m]
+    return [m for m in (x.strip(" \t\u00a0\u3000>*#-\ufeff\u200b") for x in _ENDS.split(text)) if m]
 
 
 def tokens(message: str) -> list[str]:
@@ -143,98 +223,157 @@ def pieces(t: list[str]) -> list[list[str]]:
     return [t[k : k + MESSAGE_TOKENS] for k in range(0, len(t) - MESSAGE_TOKENS // 3, MESSAGE_TOKENS * 2 // 3)]
 
 
-class PrefixTree:
-    """Fixed depth: verdict, number of tokens, the first DEPTH tokens, then groups of token lists of that length."""
+def leaf_of(t: list[str]) -> str:
+    """The path of a token list through the tree: its length, its first DEPTH tokens and its cue tokens in their order."""
+    return " ".join([str(len(t)), *t[:DEPTH], "|", *[x for x in t if x.lower() in _FIXED or x.startswith("/")]])
+
+
+class Leaf:
+    """The groups of one leaf: templates of token lists that are alike, with documents and shares of their messages."""
 
     def __init__(self):
-        self.leaves: dict[tuple, list[int]] = {}
         self.templates: list[list[str]] = []
-        self.counts: list[int] = []
-        self.kinds: list[str | None] = []
-        self.verdicts: dict[str, str | None] = {}
-
-    def verdict(self, t: list[str]) -> str | None:
-        """classify() of a message, once for each distinct one."""
-        name = " ".join(t)
-        if name not in self.verdicts:
-            self.verdicts[name] = classify(name)
-        return self.verdicts[name]
-
-    def add(self, t: list[str]) -> int:
-        """The group of a token list; a new one unless one of the leaf is similar enough, whose template is then widened."""
-        kind = self.verdict(t)
-        leaf = self.leaves.setdefault((kind, len(t), *t[:DEPTH]), [])
+        self.documents: list[int] = []
+        self.shares: list[float] = []
+        self.at: dict[tuple[int, str], set[int]] = {}
+
+    def add(self, t: list[str], documents: int, share: float) -> int:
+        """The group of a token list; a new one unless one is similar enough, whose template is then widened.
+
+        Only groups that agree in some token outside the leaf's path are compared: others can't be similar enough.
+        """
         best, score = -1, -1.0
-        for g in leaf:
-            s = sum(map(str.__eq__, self.templates[g], t)) / len(t)
-            if s > score:
-                best, score = g, s
-                if s == 1.0:
-                    break
+        near: dict[int, int] = {}
+        for k, x in enumerate(t):
+            for g in self.at.get((k, x), ()):
+                near[g] = near.get(g, 0) + 1
+        for g, n in near.items():
+            if n / len(t) > score:
+                best, score = g, n / len(t)
         if best >= 0 and score >= SIMILAR:
-            if score < 1.0:
-                self.templates[best] = [a if a == b else WILD for a, b in zip(self.templates[best], t)]
-            self.counts[best] += 1
+            for k, (a, b) in enumerate(zip(self.templates[best], t)):
+                if a != b and a != WILD:
+                    self.at[k, a].discard(best)
+                    self.templates[best][k] = WILD
+            self.documents[best] += documents
+            self.shares[best] += share * documents
             return best
+        g = len(self.templates)
         self.templates.append(list(t))
-        self.counts.append(1)
-        self.kinds.append(kind)
-        if len(leaf) < GROUPS_A_LEAF:  # a full leaf takes no more groups; further messages are templates by themselves
-            leaf.append(len(self.templates) - 1)
-        return len(self.templates) - 1
+        self.documents.append(documents)
+        self.shares.append(share * documents)
+        for k, x in enumerate(t):
+            self.at.setdefault((k, x), set()).add(g)
+        return g
 
 
-def classify(template: str) -> str | None:
-    """error, script or filler for a template that is such a text by itself; None for an ordinary one."""
+def classify(template: str, documents: int = 1, share: float = 0.0) -> str | None:
+    """error, script or filler for a template that is such a text; None for an ordinary one.
+
+    documents is the number of documents with the template, share the part of them it makes up on average.
+    """
     t = template.lower()
-    if _ERROR.search(t):
+    if _ERROR.search(t) or _STATUS.search(t):
         return "error"
     if _SCRIPT.search(t):
         return "script"
-    return "filler" if _FILL.search(t) else None
+    if _FILL.search(t):
+        return "filler"
+    n = t.count(" ") + 1
+    if TOLD.search(t) or n > 3 * SHORT:
+        return None
+    # weak wording: what recurs, fills its documents, has slots, or is a short notice to the reader
+    evidence = (documents >= RECURS) + (share >= SHARE) + (WILD in t) + (n <= SHORT)
+    if _SCRIPTED.search(t) and _WANT.search(t) and evidence + 2 * bool(_BROWSER.search(t)) >= 3:
+        return "script"
+    if _FAULT.search(t) and _PLACE.search(t) and evidence >= 2 - (n <= 8):
+        return "error"
+    if _FILLED.search(t) and evidence >= 1 or n >= 4 and sum(x in LATIN for x in t.split()) * 2 >= n:
+        return "filler"
+    return None
 
 
 def unresolved(message: str) -> bool:
     """Whether a message holds an unresolved slot, and neither is code nor talks about the notation."""
-    return bool(_SLOT.search(message)) and not _ABOUT.search(_SLOT.sub(" ", message)) and not _CODE.search(message)
+    m = _SLOT.search(message)
+    if not m or _CODE.search(message):
+        return False
+    return bool(_GREETING.search(message[: m.start()])) or not _ABOUT.search(_SLOT.sub(" ", message))
 
 
-def _mine(batches):
-    """Rows (doc_id, template or null, kind, slot): the messages' templates, known once the tree has seen all messages."""
-    tree, docs, groups = PrefixTree(), [], []
+_MINED = "doc_id bigint, message bigint, leaf string, text string, share double, slot boolean"
 
-    def flush():
-        names = [" ".join(t) for t in tree.templates]
-        # template rows first become distinct pairs of document and template
-        pairs = sorted(set(zip(docs, groups)))
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in pairs], type=pa.int64()), pa.array([names[g] for _, g in pairs], type=pa.string()), pa.array([tree.kinds[g] for _, g in pairs], type=pa.string()), pa.array([False] * len(pairs))],
-            names=["doc_id", "template", "kind", "slot"],
-        )
-        docs.clear(), groups.clear()
-        return out
 
+def _read(batches):
+    """Messages with a cue: document, the message's hash, its leaf, its tokens and its share of the text; and slots."""
+    search = cue_search()
     for batch in batches:
-        slotted = []
+        rows: list[tuple] = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low = text.lower()
+            cued = next(search.iter(low), None) is not None
+            slotted = any(c in text for c in "{[<%_") or "XXX" in text or "undefined" in low or "NaN" in text or "null" in low
+            if not cued and not slotted:
+                continue
+            seen = set()
+            slot = False
             for m in messages(text):
-                for t in pieces(tokens(m)):
-                    docs.append(i)
-                    groups.append(tree.add(t))
-                if any(c in m for c in "{[<%_X") or "undefined" in m or "NaN" in m or "null" in m:
-                    if unresolved(m):
-                        slotted.append(i)
-        if slotted:
-            yield pa.RecordBatch.from_arrays([pa.array(slotted, type=pa.int64()), pa.nulls(len(slotted), pa.string()), pa.array(["slot"] * len(slotted)), pa.array([True] * len(slotted))], names=["doc_id", "template", "kind", "slot"])
-        if len(docs) > TREE_MESSAGES:
-            yield flush()
-            tree = PrefixTree()
-    yield flush()
+                if slotted and not slot and (any(c in m for c in "{[<%_X") or "undefined" in m or "NaN" in m or "null" in m):
+                    slot = unresolved(m)
+                if cued and next(search.iter(m.lower()), None) is not None:
+                    for t in pieces(tokens(m)):
+                        name = " ".join(t)
+                        if name not in seen:
+                            seen.add(name)
+                            rows.append((i, xxhash.xxh64_intdigest(name) - (1 << 63), leaf_of(t), name, len(m) / len(text), False))
+            if slot:
+                rows.append((i, 0, None, None, 0.0, True))
+        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "message", "leaf", "text", "share", "slot"), r)) for r in rows], schema=_SCHEMA)
 
 
-def _verdicts(batches):
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("message", pa.int64()), ("leaf", pa.string()), ("text", pa.string()), ("share", pa.float64()), ("slot", pa.bool_())])
+_GROUPED = pa.schema([("message", pa.int64()), ("part", pa.string()), ("template", pa.string()), ("documents", pa.int64()), ("share", pa.float64())])
+
+
+def _grow(batches):
+    """Rows sorted by leaf become groups: (message, part) for every message, (part, template, documents, share) for every group."""
+    leaf, now = None, Leaf()
+
+    def ended():
+        return [{"message": None, "part": f"{leaf} #{g}", "template": " ".join(t), "documents": n, "share": s / max(n, 1)} for g, (t, n, s) in enumerate(zip(now.templates, now.documents, now.shares))]
+
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("template"), pa.array([classify(t) for t in batch.column("template").to_pylist()], type=pa.string())], names=["template", "kind"])
+        out = []
+        for key, message, text, n, share in zip(*[c.to_pylist() for c in batch.columns]):
+            if key != leaf:
+                out += ended()
+                leaf, now = key, Leaf()
+            g = now.add(text.split(" "), n, share)
+            out.append({"message": message, "part": f"{leaf} #{g}", "template": None, "documents": None, "share": None})
+        yield pa.RecordBatch.from_pylist(out, schema=_GROUPED)
+    yield pa.RecordBatch.from_pylist(ended(), schema=_GROUPED)
+
+
+def _verdicts(batches):
+    for b in batches:
+        kinds = [classify(t, n, s) for t, n, s in zip(b.column("template").to_pylist(), b.column("documents").to_pylist(), b.column("share").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("template"), b.column("documents"), b.column("share"), pa.array(kinds, type=pa.string())], names=["part", "template", "documents", "share", "kind"])
+
+
+def mined(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents' messages with a cue (and slots), the messages' groups, and the groups' templates with their verdicts."""
+    narrow = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    read = cut(narrow.mapInArrow(_read, _MINED), "messages")
+    counted = read.where("not slot").groupBy("leaf", "message").agg(F.first("text").alias("text"), F.count("*").alias("documents"), F.avg("share").alias("share"))
+    stream = counted.repartition("leaf").sortWithinPartitions("leaf", F.desc("documents"), "message").select("leaf", "message", "text", "documents", "share")
+    grown = cut(stream.mapInArrow(_grow, "message bigint, part string, template string, documents bigint, share double"), "groups")
+    told = grown.where("template is not null").select("part", "template", "documents", "share").mapInArrow(_verdicts, "part string, template string, documents bigint, share double, kind string")
+    return read, grown.where("message is not null").select("message", "part"), told
+
+
+def residue_templates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """template, documents, share, kind of every mined template that is residue."""
+    return mined(df, key, text)[2].where("kind is not null").drop("part")
 
 
 def residue_documents(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -243,11 +382,8 @@ def residue_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     Null keys, null, empty and blank texts have none. Rows that repeat a key count once. Texts are read whole; long
     messages enter the tree as overlapping pieces. An empty table gives an empty result; other columns are ignored.
     """
-    narrow = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    from quarrymill.session import cut
-
-    mined = cut(narrow.mapInArrow(_mine, "doc_id bigint, template string, kind string, slot boolean"), "templates")
-    open_ = mined.where("kind is null").select("doc_id", "template")
-    kinds = open_.select("template").distinct().mapInArrow(_verdicts, "template string, kind string").where("kind is not null")
-    told = open_.join(kinds, "template").select("doc_id", "kind")
-    return told.unionByName(mined.where("kind is not null").select("doc_id", "kind")).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    read, groups, told = mined(df, key, text)
+    kinds = groups.join(told.where("kind is not null").select("part", "kind"), "part").select("message", "kind")
+    found = read.where("not slot").select("doc_id", "message").join(kinds, "message").select("doc_id", "kind")
+    slots = read.where("slot").select("doc_id", F.lit("slot").alias("kind"))
+    return found.unionByName(slots).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
