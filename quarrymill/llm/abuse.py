@@ -14,6 +14,7 @@ of toxic and neutral comments. Only the model is fitted on a bounded sample; eve
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.encoding import TOKENIZERS
+
 DECAY = 0.7
 GAP = 6
 WINDOW = 18
@@ -44,6 +47,8 @@ _ENDS = re.compile(r"[.!?…]+[\s\"')\]]+|[\r\n]+|[.!?…]+$")
 _EDGES = " \t.,;:!?…\"'`()[]{}<>*_~-–—/\\|#@“”‘’«»"
 _PLAIN = re.compile(r"[a-z]+(?:['’-][a-z]+)*$")
 _REPEAT = re.compile(r"(\w)\1{2,}")
+_SPACED = re.compile(r"(?<!\S)(?:[a-z*@$!0-9]([ ._-]))(?:[a-z*@$!0-9]\1){2,}[a-z*@$!0-9](?!\w)")
+INSERTED = 2  # so many letters may be put into a word of the lexicon
 
 
 def clean(text: str) -> str:
@@ -56,9 +61,9 @@ def clean(text: str) -> str:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; long ones as overlapping windows."""
+    """The words of each sentence, letters that are spelled one by one joined; long ones as overlapping windows."""
     out = []
-    for part in _ENDS.split(clean(text)):
+    for part in _ENDS.split(_SPACED.sub(lambda m: m.group().replace(m.group(1), ""), clean(text))):
         w = [x for x in (y.strip(_EDGES) or ("*" if "*" in y else "") for y in part.split()) if x]
         if len(w) <= WINDOW + 4:
             if w:
@@ -92,21 +97,64 @@ def likeness(a: str, b: str) -> float:
     return subsequence_kernel(a, b) / max(1e-9, (subsequence_kernel(a, a) * subsequence_kernel(b, b)) ** 0.5)
 
 
+class PairWeights:
+    """Weights of pairs of word numbers in an open hash table: as many entries as the landmarks have pairs, at most
+    LANDMARKS * WINDOW * GAP, however large the vocabulary is."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys) * 4).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        todo, probe = np.arange(len(keys)), 0
+        first = self._slot(keys)
+        while len(todo):
+            at = first[todo] + probe & len(self.keys) - 1
+            free = self.keys[at] < 0
+            _, once = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[once]
+            self.keys[at[put]], self.values[at[put]] = keys[todo[put]], values[todo[put]]
+            todo = np.delete(todo, put)
+            probe += 1
+        self.probes = probe
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], np.float32(0))
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        for k in range(1, self.probes):
+            if not len(todo):
+                break
+            where = at[todo] + k & len(self.keys) - 1
+            found = self.keys[where]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.values[where[hit]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+
 @dataclass
 class Model:
-    """Word numbers, the folded weights of words and pairs, and the offset."""
+    """Word numbers, the folded weights of words and pairs, the offset, and ordinary words that are no disguises."""
 
     number: dict[str, int]
     lexicon: list[str]
     single: np.ndarray
-    pair: np.ndarray
+    pair: PairWeights
     offset: float
+    ordinary: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.known = dict(self.number)
         self.by_first: dict[str, list[str]] = {}
         for w in self.lexicon:
             self.by_first.setdefault(w[0], []).append(w)
+        some = [w for w in self.lexicon if len(w) > 3]
+        gap = f"[a-z]{{0,{INSERTED}}}"
+        self.inserted = re.compile("|".join(f"(?={gap.join(w)}{gap}$)" for w in some)) if some else None
 
     def code(self, word: str) -> int:
         """The number of a word, of the lexicon word it is a disguise of, or 0."""
@@ -118,18 +166,30 @@ class Model:
         return found
 
     def uncover(self, word: str) -> str:
-        """The word behind a disguise: the most similar of the lexicon, if similar enough; else the word itself."""
-        if len(word) > 24 or _PLAIN.match(word) and "-" not in word and not _REPEAT.search(word):
-            return word
-        folded = word.translate(SIGNS)
-        letters = re.sub(r"[^a-z]", "", folded)
-        for w in (letters, _REPEAT.sub(r"\1", letters), _REPEAT.sub(r"\1\1", letters)):
-            if w in self.number:
-                return w
-        letters = _REPEAT.sub(r"\1", letters)
-        if len(letters) < 2:
+        """The word behind a disguise: the most similar of the lexicon, if similar enough; else the word itself.
+
+        A word of plain letters is compared if it holds a lexicon word of over three letters with at most INSERTED
+        letters between any two of its letters and so many more in all, and isn't an ordinary word itself.
+        """
+        if len(word) > 24:
             return word
-        best = max(((likeness(letters, w), w) for w in self.by_first.get(letters[0], ()) if len(w) < len(letters) + 5), default=(0.0, word))
+        if _PLAIN.match(word) and "-" not in word and not _REPEAT.search(word):
+            if self.inserted is None or word in self.ordinary or not self.inserted.match(word):
+                return word
+            near = [w for w in self.by_first.get(word[0], ()) if 3 < len(w) < len(word) <= len(w) + INSERTED and _within(w, word)]
+        else:
+            folded = word.translate(SIGNS)
+            letters = re.sub(r"[^a-z]", "", folded)
+            for w in (letters, _REPEAT.sub(r"\1", letters), _REPEAT.sub(r"\1\1", letters)):
+                if w in self.number:
+                    return w
+            word_, word = word, _REPEAT.sub(r"\1", letters)
+            if len(word) < 2:
+                return word_
+            near = [w for w in self.by_first.get(word[0], ()) if len(w) < len(word) + 5]
+            best = max(((likeness(word, w), w) for w in near), default=(0.0, word_))
+            return best[1] if best[0] >= ALIKE else word_
+        best = max(((likeness(word, w), w) for w in near), default=(0.0, word))
         return best[1] if best[0] >= ALIKE else word
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -151,14 +211,34 @@ class Model:
     def decide(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         of = np.repeat(np.arange(len(sizes)), sizes)
         total = np.bincount(of, weights=self.single[flat], minlength=len(sizes))
+        width = len(self.single)
         for g in range(1, GAP + 1):
             if len(flat) <= g:
                 break
-            same = of[g:] == of[:-g]
-            total += np.bincount(of[g:], weights=DECAY**g * self.pair[flat[:-g], flat[g:]] * same, minlength=len(sizes))
+            some = np.flatnonzero((of[g:] == of[:-g]) & (flat[:-g] > 0) & (flat[g:] > 0))
+            total += np.bincount(of[g:][some], weights=DECAY**g * self.pair.of(flat[some] * width + flat[some + g]), minlength=len(sizes))
         return total / length_norm(sizes) + self.offset
 
 
+def _within(short: str, long: str) -> bool:
+    """Whether short is a subsequence of long."""
+    rest = iter(long)
+    return all(c in rest for c in short)
+
+
+def ordinary_words(vocabulary: str) -> frozenset[str]:
+    """Words that a public tokenizer keeps whole; a file that can't be read gives none."""
+    try:
+        with open(vocabulary, encoding="ascii") as f:
+            each = (base64.b64decode(line.split()[0]) for line in f)
+            return frozenset(w[1:].decode() for w in each if re.fullmatch(rb" [a-z]{4,}", w))
+    except OSError:
+        return frozenset()
+
+
+NO_PAIRS = PairWeights(np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
 def length_norm(sizes: np.ndarray) -> np.ndarray:
     """The norm of a sentence of that many different words in the feature space of the kernel."""
     n = sizes.astype(float)
@@ -183,7 +263,7 @@ def _features(coded: list[list[int]], width: int) -> tuple[np.ndarray, np.ndarra
     return r[keep], f[keep], (v / norm[r])[keep]
 
 
-def train(sents: list[list[str]], labels: np.ndarray, landmarks: int = LANDMARKS) -> Model:
+def train(sents: list[list[str]], labels: np.ndarray, landmarks: int = LANDMARKS, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> Model:
     """Fit the machine on labelled sentences (lists of words, labels 0 or 1), in their given order."""
     y = np.where(labels > 0, 1.0, -1.0)
     pos: dict[str, int] = {}
@@ -197,7 +277,8 @@ def train(sents: list[list[str]], labels: np.ndarray, landmarks: int = LANDMARKS
     vocab = sorted({w for c in (pos, neg) for w in c if pos.get(w, 0) + neg.get(w, 0) >= 3} | set(lexicon))
     number = {w: k + 1 for k, w in enumerate(vocab)}
     width = len(number) + 1
-    blank = Model(number, lexicon, np.zeros(width), np.zeros((1, 1)), 0.0)
+    usual = ordinary_words(vocabulary) - set(lexicon)
+    blank = Model(number, lexicon, np.zeros(width), NO_PAIRS, 0.0, usual)
     coded = [[blank.code(w) for w in s] for s in sents]
     # landmarks: half of each label, beginnings that are new first
     chosen: list[int] = []
@@ -255,14 +336,14 @@ def train(sents: list[list[str]], labels: np.ndarray, landmarks: int = LANDMARKS
             break
         w = new
     beta = root @ w[:-1]
-    single, pair = np.zeros(width), np.zeros((width, width))
-    for feat, row, val in zip(lf, lr, lv):
-        if feat < width:
-            single[feat] += beta[row] * val
-        else:
-            pair[feat // width - 1, feat % width] += beta[row] * val
+    feats, of = np.unique(lf, return_inverse=True)
+    weight = np.bincount(of, weights=beta[lr] * lv)
+    words, pairs = feats < width, feats >= width
+    single = np.zeros(width)
+    single[feats[words]] = weight[words]
     single[0] = 0
-    return Model(number, lexicon, single.astype(np.float32), pair.astype(np.float32), float(w[-1]))
+    folded = PairWeights((feats[pairs] // width - 1) * width + feats[pairs] % width, weight[pairs].astype(np.float32))
+    return Model(number, lexicon, single.astype(np.float32), folded, float(w[-1]), usual)
 
 
 def labelled_sentences(records: DataFrame, pairs: DataFrame | None) -> tuple[list[list[str]], np.ndarray]:
@@ -270,15 +351,18 @@ def labelled_sentences(records: DataFrame, pairs: DataFrame | None) -> tuple[lis
     n = records.count()
     every = max(1, n // SAMPLE_RECORDS)
     some = records.where("text is not null and toxic_spans is not null and id is not null").where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    rows = some.select("id", "text", "toxic_spans").orderBy("id").limit(SAMPLE_RECORDS).toArrow().to_pylist()
+    some = some.select("id", "text", "toxic_spans").orderBy("id").limit(SAMPLE_RECORDS).dropDuplicates(["id"])
+    # only the labelled sentences come here, not the texts around them
+    span = F.col("span")
+    spans = some.select("id", "text", F.posexplode("toxic_spans").alias("at", "span")).where((F.size(span) >= 3) & ~F.exists(span, lambda v: v.isNull()))
+    start, end = F.get(span, F.lit(0)).cast("int"), F.get(span, F.lit(1)).cast("int")
+    good = spans.where((start >= 0) & (start < end) & (end <= F.length("text"))).select("id", "at", F.substring("text", start + 1, end - start).alias("part"), (F.get(span, F.lit(2)) > 0.5).alias("label"))
     sents, labels = [], []
-    for r in {r["id"]: r for r in rows}.values():
-        for span in r["toxic_spans"]:
-            if span and len(span) >= 3 and None not in span and 0 <= span[0] < span[1] <= len(r["text"]):
-                found = sentences(r["text"][int(span[0]) : int(span[1])])
-                if len(found) == 1 and len(found[0]) > 1:
-                    sents.append(found[0])
-                    labels.append(span[2] > 0.5)
+    for r in good.orderBy("id", "at").toArrow().to_pylist():
+        found = sentences(r["part"])
+        if len(found) == 1 and len(found[0]) > 1:
+            sents.append(found[0])
+            labels.append(r["label"])
     if pairs is not None:
         every = max(1, pairs.count() // SAMPLE_PAIRS)
         some = pairs.where(F.pmod(F.xxhash64("pair_id"), F.lit(every)) == 0).select("pair_id", "en_toxic_comment", "en_neutral_comment").orderBy("pair_id", "en_neutral_comment").limit(SAMPLE_PAIRS)
@@ -302,6 +386,15 @@ def varied(sents: list[list[str]], labels: list) -> tuple[list[list[str]], np.nd
     return [sents[k] for k in keep], np.array([labels[k] for k in keep], dtype=int)
 
 
+def fitted(records: DataFrame, pairs: DataFrame | None = None) -> Model:
+    """The model of a table's labelled sample; without labels of both kinds one that finds nothing. Its size is bounded by
+    the sample's: SAMPLE_RECORDS records and SAMPLE_PAIRS pairs."""
+    sents, labels = labelled_sentences(records, pairs)
+    if not 0 < labels.sum() < len(labels):
+        return Model({}, [], np.zeros(1, np.float32), NO_PAIRS, -1.0)
+    return train(sents, labels)
+
+
 def abuse_scores(records: DataFrame, pairs: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """id, source, score of every record; a score above 0 means abusive, hateful or sexual content.
 
@@ -309,9 +402,7 @@ def abuse_scores(records: DataFrame, pairs: DataFrame | None = None, model: Mode
     ones, as texts are). Texts are scored whole. Without labelled rows of both kinds every score is -1. Other columns
     are ignored.
     """
-    if model is None:
-        sents, labels = labelled_sentences(records, pairs)
-        model = train(sents, labels) if 0 < labels.sum() < len(labels) else Model({}, [], np.zeros(1, np.float32), np.zeros((1, 1), np.float32), -1.0)
+    model = model or fitted(records, pairs)
     held = records.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -324,12 +415,12 @@ def abuse_scores(records: DataFrame, pairs: DataFrame | None = None, model: Mode
     return records.where("id is not null").select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "id string, source string, score double")
 
 
-def abusive_records(records: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def abusive_records(records: DataFrame, pairs: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """The ids of the records with such content, each once."""
-    return abuse_scores(records, pairs).where("score > 0").select("id").distinct()
+    return abuse_scores(records, pairs, model).where("score > 0").select("id").distinct()
 
 
-def abuse_rates(records: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def abuse_rates(records: DataFrame, pairs: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """For each source (null where it is unknown): records, abusive ones and their rate; repeated ids count once."""
-    each = abuse_scores(records, pairs).groupBy("id").agg(F.max("score").alias("score"), F.max("source").alias("source"))
+    each = abuse_scores(records, pairs, model).groupBy("id").agg(F.max("score").alias("score"), F.max("source").alias("source"))
     return each.groupBy("source").agg(F.count("*").alias("records"), F.count_if(F.col("score") > 0).alias("abusive")).withColumn("rate", F.round(F.col("abusive") / F.col("records"), 6))

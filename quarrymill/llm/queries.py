@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.leaks import leaked_items
 from quarrymill.llm.near_duplicates import near_duplicate_pairs, near_duplicate_report
-from quarrymill.llm.abuse import abuse_rates, abuse_scores, abusive_records
+from quarrymill.llm.abuse import Model, abuse_rates, abuse_scores, abusive_records, fitted
 from quarrymill.llm.encoding import encode_texts
 from quarrymill.llm.mixing import mix_report, mixed_documents
 from quarrymill.llm.packing import packed_sequences, packing_report
 from quarrymill.llm.pii import mentions, redact
-from quarrymill.llm.residue import residue_documents
+from quarrymill.llm.residue import residue_documents, residue_templates
 from quarrymill.llm.split_overlap import cross_split_overlaps, overlap_report
 from quarrymill.session import table
 
@@ -34,7 +34,7 @@ def p1_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_leaks(spark, d).select("corpus", "doc_key", "item_id")
+    return p1_leaks(spark, d).where("stretch >= need").select("corpus", "doc_key", "item_id")
 
 
 def p2_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -45,16 +45,27 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(table(spark, d, "input_ids"))
 
 
+_models: dict[tuple[str, str], Model] = {}
+
+
+def _abuse_model(spark: SparkSession, d: str) -> Model:
+    """The model of a folder's tables, fitted once a session and shared by the queries."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _models:
+        _models[key] = fitted(table(spark, d, "toxic_reddit"), table(spark, d, "paradetox"))
+    return _models[key]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return abusive_records(table(spark, d, "toxic_reddit"), table(spark, d, "paradetox"))
+    return abusive_records(table(spark, d, "toxic_reddit"), model=_abuse_model(spark, d))
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse_scores(table(spark, d, "toxic_reddit"), table(spark, d, "paradetox"))
+    return abuse_scores(table(spark, d, "toxic_reddit"), model=_abuse_model(spark, d))
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse_rates(table(spark, d, "toxic_reddit"), table(spark, d, "paradetox"))
+    return abuse_rates(table(spark, d, "toxic_reddit"), model=_abuse_model(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +102,16 @@ def p9_residue(spark: SparkSession, d: str) -> DataFrame:
     return residue_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_templates(spark: SparkSession, d: str) -> DataFrame:
+    return residue_templates(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_residue(spark, d).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_leaks, p2_packed, p2_report, p3_found, p3_scores, p3_rates, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_report, p9_found, p9_residue)
+    every = (p1_found, p1_leaks, p2_packed, p2_report, p3_found, p3_scores, p3_rates, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_report, p9_found, p9_residue, p9_templates)
     return {f.__name__: f for f in every}
 
 
