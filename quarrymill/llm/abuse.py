@@ -355,7 +355,7 @@ def labelled_sentences(records: DataFrame, pairs: DataFrame | None) -> tuple[lis
     # only the labelled sentences come here, not the texts around them
     span = F.col("span")
     spans = some.select("id", "text", F.posexplode("toxic_spans").alias("at", "span")).where((F.size(span) >= 3) & ~F.exists(span, lambda v: v.isNull()))
-    start, end = F.get(span, F.lit(0)).cast("int"), F.get(span, F.lit(1)).cast("int")
+    start, end = F.get(span, F.lit(0)).try_cast("int"), F.get(span, F.lit(1)).try_cast("int")
     good = spans.where((start >= 0) & (start < end) & (end <= F.length("text"))).select("id", "at", F.substring("text", start + 1, end - start).alias("part"), (F.get(span, F.lit(2)) > 0.5).alias("label"))
     sents, labels = [], []
     for r in good.orderBy("id", "at").toArrow().to_pylist():

@@ -1,18 +1,21 @@
 """Personal information in free text by a character BiLSTM with CRF transitions (problem 4).
 
-A model in numpy labels every character of a window: outside, or begin or inside of one of five kinds. Windows are the
-stretches around places where a mention can be: every mention has a digit run, an @ or a spelled-out one, a title, a
-given name or two capitalised words in a row, so that no text beyond them needs decoding. Long stretches are cut into
-overlapping windows; each is decoded by itself, and the mentions are reconciled over the whole text: of two that
-overlap, the one further from its window's edges stands.
+A model in numpy labels every character of every text: outside, or begin or inside of one of five kinds. Nothing is
+left out beforehand: texts are cut into overlapping windows that cover them whole. Each window is decoded by itself,
+and the mentions are reconciled over the text: of two that overlap, the one further from its window's edges stands.
 
-The weights are trained by quarrymill.llm.pii_train from labelled spans and kept beside this file.
+Decoding is exact but skips work that can't matter. With the emissions at hand, a recursion over three labels (outside,
+the best kind's begin, the best kind's inside) bounds what any labelling that isn't outside at a position gains over
+"outside" everywhere; where that bound isn't positive, the position is outside in a best labelling, and the Viterbi
+recursion over all labels only runs over the stretches between such positions.
+
+The gates are piecewise linear (hard sigmoid, clipped cell), which makes a step a matrix product and three clips. The
+weights are trained by quarrymill.llm.pii_train from generated labelled spans and kept beside this file.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = 1 + 2 * len(KINDS)
-WINDOW = 112
-OVERLAP = 48
-CONTEXT = 28
-BATCH = 1024
+WINDOW = 640
+OVERLAP = 96
+BATCH = 512
+TEXTS = 2000
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 
 # Characters with a code of their own; all others go by class.
@@ -32,75 +35,6 @@ OWN = " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"(
 UPPER, LOWER, DIGIT, SPACE, OTHER, PAD = (len(OWN) + k for k in range(6))
 CODES = len(OWN) + 6
 
-# Common given names; any of them, in any case, makes a place worth decoding.
-GIVEN = """adam agnes alan albert alex alice amara amy ana andrea andrew anna anne anton arthur ben bianca bob boris brian carlos carol
-chloe clara claire claudia daniel daria david denise diana diego dmitri edgar elena eleanor eli elise emily emma eric erik esther eva fatima felix
-florian frank freya gareth george grace greta hannah hans harold helena henry hugo ian igor ines ingrid irene isabel ivan ivy jack jakob james jan
-jane jasmine jean jerome joan john jonas jorge joseph juan judith julia karen karim karl katrin kenji kevin kofi kurt laila lara laura lena leo
-leon leonard lily linda lisa lucas lucia lukas luis maja marco marcus maria marie marta martin mary mateo max maya mei mia michael miguel
-mirela mohamed monica nadia naomi nigel nina noah nora olga oliver olivia omar oscar oskar paul paula pavel pedro peter philip pia priya quentin
-rachel rafael rita robert rosa rosalind ruth samir samuel sandra sara sofia sonia stefan stella susan tanya teodora teresa tessa theo thomas tom
-umar ursula vera victor viktor walter wanda wei xavier ximena yara yusuf yuki zara zoe""".split()
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Sir Madam".split()
-STREETS = "street st avenue ave road rd lane ln drive dr boulevard blvd court ct close terrace way place square row crescent walk alley parkway hill".split()
-PLAIN = """the a an in on at to of for from with and or but if when while my our your his her their its this that these those one some somebody
-someone every each no not has have had is are was were will would can could should may might do does did i you he she it we they who whoever
-what which where why how there here then so well update anyway honestly apparently half all many between nobody looking results local first after
-before according first please sorry thanks user assistant re fw side fun hot same just for not long small serious speaking believe oddly as""".split()
-
-_PLAIN, _GIVEN = set(PLAIN), set(GIVEN)
-_PEOPLE = _GIVEN | {t.lower() for t in TITLES}
-_SPACED = str.maketrans({c: " " for c in ".,;:!?\"'()[]<>-_/\n\r\t"})
-_MAIL = re.compile(r"\S*@\S+|\S+ ?[(\[{] ?(?i:at) ?[)\]}] ?\S+|\S+ (?i:at) \S+ (?i:dot) \S+")
-_NUMBER = re.compile(r"\d+")
-_LONG = re.compile(r"\d[\d().\- ]{4,}\d")
-_AFTER = re.compile(r",? (?:\w[\w'’.-]* ){1,4}?(?i:" + "|".join(STREETS) + r")\b|,? (?i:rue|avenue|boulevard|chemin|via|calle|avenida|place|allée|quai) ")
-_BEFORE = re.compile(r"(?i)(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|damm|ufer|\b(?:calle|avenida|via|rua|plaza|paseo) \w+,?|\b(?:flat|unit|apt|suite|apartment|po box|postfach)) $")
-_WORD = re.compile(r"\w+")
-_SOCIAL = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}\b")  # three, two and four digits: no phone number has this shape
-_AT = [f"at{x}" for x in (")", "]", "}", " )", " ]", " }")] + [" dot "]
-
-
-def _class(test) -> str:
-    """The characters below 0x10000 that pass the test, as ranges for a character class."""
-    found = [c for c in range(0x10000) if test(chr(c))]
-    starts = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
-    ends = [c for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
-    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
-
-
-_CAPITAL, _REST = f"[{_class(lambda c: c.isupper() or c.istitle())}]", f"[{_class(str.islower)}'’-]"
-#: Every pair, also those that overlap: the first word may be no name, and the next pair one.
-_TWO = re.compile(rf"\b(?=({_CAPITAL}{_REST}+,? (?:{_CAPITAL}\. ?)?{_CAPITAL}{_REST}+))")
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """The places where a mention can be. A place is cheap to find: most texts only pay for their numbers and a look at their words."""
-    out = []
-    low = text.lower()
-    if "@" in text or any(x in low for x in _AT):
-        out += [m.span() for m in _MAIL.finditer(text)]
-    for m in _NUMBER.finditer(text):
-        s, e = m.span()
-        more = _LONG.match(text, s)
-        if more:
-            out.append(more.span())
-        elif e - s < 6:
-            more = _AFTER.match(text, e)
-            if more:
-                out.append((s, more.end()))
-            elif _BEFORE.search(text, max(0, s - 32), s):
-                out.append((max(0, s - 12), e))
-    if not _PEOPLE.isdisjoint(low.translate(_SPACED).split()):
-        out += [(max(0, m.start() - 16), min(len(text), m.end() + 16)) for m in _WORD.finditer(text) if m.group().lower() in _PEOPLE]
-    for m in _TWO.finditer(text):
-        a, _, b = m.group(1).partition(" ")
-        if a.strip(",").lower() not in _PLAIN and b.lower() not in _PLAIN:
-            out.append(m.span(1))
-    out.sort()
-    return out
-
-
 _TABLE = np.full(0x3000, OTHER, dtype=np.int16)
 for _c in range(0x3000):
     _x = chr(_c)
@@ -115,55 +49,121 @@ def codes(text: str) -> np.ndarray:
     return np.where(u < 0x3000, _TABLE[np.minimum(u, 0x2FFF)], OTHER).astype(np.int16)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1.0
-    return np.reciprocal(x, out=x)
-
-
 class Tagger:
     """The trained model: gate tables by character, recurrences, emissions and transitions."""
 
     def __init__(self, path: str = WEIGHTS):
         w = np.load(path)
         self.w = {k: w[k].astype(np.float32) for k in w.files}
+        size = self.w["uf"].shape[0]
+        for d in "fb":  # the slope and offset of the hard sigmoid go into the weights
+            for k in ("x", "u"):
+                self.w[k + d] = self.w[k + d].copy()
+                self.w[k + d][:, : 3 * size] *= 0.25
+            self.w["x" + d][:, : 3 * size] += 0.5
+        move, start = self.w["move"] - self.w["move"][0, 0], self.w["start"] - self.w["start"][0]
+        part = (slice(0, 1), slice(1, None, 2), slice(2, None, 2))  # outside, begin, inside
+        self.bound = [[float(move[i, j].max()) for j in part] for i in part]
+        self.first = [float(start[i].max()) for i in part]
 
     def _direction(self, x: np.ndarray, name: str) -> np.ndarray:
-        """Hidden states of one direction; x is time by batch."""
+        """Hidden states of one direction, time by batch by state; x is time by batch."""
         table, u = self.w["x" + name], self.w["u" + name]
         size = u.shape[0]
+        out = np.empty((*x.shape, size), np.float32)
         h = np.zeros((x.shape[1], size), np.float32)
         c = np.zeros_like(h)
-        out = np.empty((*x.shape, size), np.float32)
+        z = np.empty((x.shape[1], 4 * size), np.float32)
+        g = np.empty_like(z)
+        s, q = z[:, : 3 * size], z[:, 3 * size :]
         for t in range(len(x)) if name == "f" else range(len(x) - 1, -1, -1):
-            z = table[x[t]]
-            z += h @ u
-            s = _sigmoid(z[:, : 3 * size])
+            np.take(table, x[t], axis=0, out=g)
+            np.matmul(h, u, out=z)
+            z += g
+            np.clip(s, 0, 1, out=s)
+            np.clip(q, -1, 1, out=q)
+            q *= s[:, :size]
             c *= s[:, size : 2 * size]
-            c += s[:, :size] * np.tanh(z[:, 3 * size :])
-            h = s[:, 2 * size :] * np.tanh(c)
-            out[t] = h
+            c += q
+            np.clip(c, -1, 1, out=c)
+            h = out[t]
+            np.multiply(s[:, 2 * size :], c, out=h)
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Label scores, time by batch by label."""
+        """Label scores, label by time by batch."""
         size = self.w["uf"].shape[0]
-        return self._direction(x, "f") @ self.w["out"][:size] + self._direction(x, "b") @ self.w["out"][size:] + self.w["bias"]
-
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best label sequences (Viterbi), time by batch."""
+        out = self.w["out"][:size].T @ self._direction(x, "f").reshape(-1, size).T
+        out += self.w["out"][size:].T @ self._direction(x, "b").reshape(-1, size).T
+        out += self.w["bias"][:, None]
+        return out.reshape(LABELS, *x.shape)
+
+    def stretches(self, e: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
+        """(column, first, end): wherever a best labelling may be other than outside; n has the windows' lengths.
+
+        The kinds are taken together: begin and inside score what the best kind does, and so do the transitions. The
+        best path of these three labels through a position bounds every labelling that isn't outside there.
+        """
+        begin, inside = e[1].copy(), e[2].copy()
+        for k in range(3, LABELS, 2):
+            np.maximum(begin, e[k], out=begin)
+            np.maximum(inside, e[k + 1], out=inside)
+        begin -= e[0]
+        inside -= e[0]
+        off = np.arange(len(begin))[:, None] >= n
+        begin[off] = inside[off] = -1e9
+        (_, ob, oi), (bo, bb, bi), (io, ib, ii) = self.bound
+        ahead = np.empty((2, *begin.shape), np.float32)
+        o = np.zeros(begin.shape[1], np.float32)
+        for t in range(len(begin)):
+            if t == 0:
+                ahead[0, 0], ahead[1, 0] = begin[0] + self.first[1], inside[0] + self.first[2]
+            else:
+                pb, pi = ahead[0, t - 1], ahead[1, t - 1]
+                np.maximum(np.maximum(o + ob, pb + bb), pi + ib, out=ahead[0, t])
+                np.maximum(np.maximum(o + oi, pb + bi), pi + ii, out=ahead[1, t])
+                o = np.maximum(o, np.maximum(pb + bo, pi + io))
+                ahead[0, t] += begin[t]
+                ahead[1, t] += inside[t]
+        # gains of the rest, for labels outside, begin and inside here; 0 at the end of a window
+        may = np.zeros((begin.shape[1], len(begin) + 2), np.int8)
+        ro, rb, ri = (np.zeros(begin.shape[1], np.float32) for _ in range(3))
+        for t in range(len(begin) - 1, -1, -1):
+            may[:, t + 1] = np.maximum(ahead[0, t] + rb, ahead[1, t] + ri) > 0
+            xb, xi = rb + begin[t], ri + inside[t]
+            ro, rb, ri = (np.maximum(np.maximum(ro + (0.0 if k == 0 else (bo, io)[k - 1]), xb + (ob, bb, ib)[k]), xi + (oi, bi, ii)[k]) for k in range(3))
+        col, at = np.nonzero(np.diff(may, axis=1))
+        return list(zip(col[::2].tolist(), at[::2].tolist(), at[1::2].tolist()))
+
+    def decode(self, x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(column, first, labels) of the stretches with labels other than outside."""
         e, move = self.emissions(x), self.w["move"]
-        score = e[0] + self.w["start"]
-        back = np.empty((len(x), x.shape[1], LABELS), np.int8)
-        for t in range(1, len(x)):
-            s = score[:, :, None] + move
-            back[t] = s.argmax(1)
-            score = s.max(1) + e[t]
-        out = np.empty(x.shape, np.int8)
-        out[-1] = score.argmax(1)
-        for t in range(len(x) - 1, 0, -1):
-            out[t - 1] = np.take_along_axis(back[t], out[t][:, None].astype(np.int64), 1)[:, 0]
+        found = sorted(self.stretches(e, n), key=lambda s: s[2] - s[1])
+        out = []
+        for lo in range(0, len(found), 512):
+            some = found[lo : lo + 512]
+            col, first, end = (np.array(k) for k in zip(*some))
+            size = end - first
+            longest = int(size.max())
+            at = np.minimum(first[None, :] + np.arange(longest)[:, None], len(x) - 1)
+            z = e[:, at, col[None, :]]
+            score = z[:, 0] + np.where((first == 0)[None, :], self.w["start"][:, None], move[0][:, None])
+            back = np.empty((longest, LABELS, len(some)), np.int8)
+            last = score.copy()
+            for t in range(1, longest):
+                s = score[:, None, :] + move[:, :, None]
+                back[t] = s.argmax(0)
+                score = s.max(0) + z[:, t]
+                np.copyto(last, score, where=(size > t)[None, :])
+            last += np.where((end == n[col])[None, :], 0, move[:, 0][:, None])
+            y = np.zeros((longest, len(some)), np.int8)
+            now = last.argmax(0)
+            every = np.arange(len(some))
+            for t in range(longest - 1, -1, -1):
+                y[t] = np.where(t < size, now, 0)
+                if t:
+                    now = np.where(t < size, back[t, now, every], now)
+            out += [(c, f, y[:k, j]) for j, (c, f, k) in enumerate(zip(col.tolist(), first.tolist(), size.tolist())) if y[:k, j].any()]
         return out
 
 
@@ -176,21 +176,13 @@ def tagger(path: str = WEIGHTS) -> Tagger:
     return _tagger[path]
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text that are decoded, cut into windows that overlap."""
-    merged: list[list[int]] = []
-    for s, e in candidates(text):
-        a, b = max(0, s - CONTEXT), min(len(text), e + CONTEXT)
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    out = []
-    for a, b in merged:
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += WINDOW - OVERLAP
-        out.append((a, b))
+def windows_of(length: int) -> list[tuple[int, int]]:
+    """Overlapping windows that cover a text."""
+    out, a = [], 0
+    while length - a > WINDOW:
+        out.append((a, a + WINDOW))
+        a += WINDOW - OVERLAP
+    out.append((a, length))
     return out
 
 
@@ -208,23 +200,21 @@ def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
 
 def find_mentions(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """The mentions (start, end, kind) of each text, in order and without overlap."""
-    windows = [(k, a, b) for k, t in enumerate(texts) for a, b in (stretches(t) if t else ())]
-    coded = {k: codes(texts[k]) for k in {k for k, _, _ in windows}}
+    coded = [codes(t) for t in texts]
+    windows = [(k, a, b) for k, c in enumerate(coded) if len(c) for a, b in windows_of(len(c))]
     windows.sort(key=lambda w: w[2] - w[1])
     raw: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for at in range(0, len(windows), BATCH):
         some = windows[at : at + BATCH]
-        x = np.full((some[-1][2] - some[-1][1], len(some)), PAD, dtype=np.int16)
+        n = np.array([b - a for _, a, b in some])
+        x = np.full((int(n[-1]), len(some)), PAD, dtype=np.int16)
         for j, (k, a, b) in enumerate(some):
             x[: b - a, j] = coded[k][a:b]
-        y = model.decode(x)
-        hot = np.flatnonzero(y.any(0))
-        for j in hot.tolist():
+        for j, first, y in model.decode(x, n):
             k, a, b = some[j]
-            for s, e, kind in spans_of(y[: b - a, j]):
-                if kind == 1 and _SOCIAL.match(texts[k], a + s, a + e):
-                    kind = 2
-                inner = min(s if a else 999, (b - a) - e if b < len(texts[k]) else 999)
+            for s, e, kind in spans_of(y):
+                s, e = s + first, e + first
+                inner = min(s if a else 9999, (b - a) - e if b < len(coded[k]) else 9999)
                 raw[k].append((inner, a + s, a + e, kind))
     out = []
     for found in raw:
@@ -255,8 +245,8 @@ def redact(df: DataFrame, key: str, text: str, weights: str = WEIGHTS) -> DataFr
     def run(batches):
         model = tagger(weights)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
                 texts = batch.column(1).to_pylist()
                 found = find_mentions([t or "" for t in texts], model)
                 yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ def test_plan_places_all_and_is_near_the_bound():
     for top in (20, 120, 400):
         sizes = [r.randint(1, top) for _ in range(600)]
         counts = {s: sizes.count(s) for s in set(sizes)}
-        plan = packing.plan_bins(counts, 400)
+        plan = packing.plan_bins(counts, 400).bins
         placed = {}
         for times, b in plan:
             assert sum(b) <= 400
@@ -38,17 +38,48 @@ def test_plan_places_all_and_is_near_the_bound():
             assert sum(t for t, _ in plan) <= lower_bound(sizes, 400) + 1
 
 
-def test_filling_is_optimal_on_small_cases():
+def fewest(sizes, capacity):
+    """The least number of bins by trying every bin for every item."""
+    best = best_fit_decreasing(sizes, capacity)
+    sizes = sorted(sizes, reverse=True)
+
+    def place(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(sizes):
+            best = len(free)
+            return
+        for f in {f for f in free if f >= sizes[k]}:
+            j = free.index(f)
+            free[j] -= sizes[k]
+            place(k + 1, free)
+            free[j] += sizes[k]
+        place(k + 1, [*free, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_are_optimal_on_small_cases():
     r = random.Random(5)
-    for _ in range(200):
-        left = {s: r.randint(1, 2) for s in r.sample(range(2, 30), 5)}
-        space = r.randint(5, 60)
-        pool = [s for s, c in left.items() for _ in range(c)]
-        sums = {0}
-        for s in pool:
-            sums |= {x + s for x in sums if x + s <= space}
-        fill = packing.best_filling(space, sorted(left), left)
-        assert sum(fill) == max(sums) and all(fill.count(s) <= left[s] for s in fill)
+    for k in range(400):
+        low, high = ((1, 100), (18, 60), (20, 50))[k % 3]
+        sizes = [r.randint(low, high) for _ in range(r.randint(3, 10))]
+        plan = packing.plan_bins({s: sizes.count(s) for s in sizes}, 100)
+        assert plan.proven and plan.count == sum(t for t, _ in plan.bins) == fewest(sizes, 100), sizes
+
+
+def test_plans_of_short_items_and_none():
+    plan = packing.plan_bins({3: 1, 2: 3000})
+    assert plan.proven and plan.count == 3 and sum(t * len(b) for t, b in plan.bins) == 3001
+    assert packing.plan_bins({}).count == 0
+
+
+def test_dominated_fillings_are_left_out():
+    left = {60: 1, 30: 1, 25: 1, 15: 1, 10: 1}
+    found = packing.undominated(40, [10, 15, 25, 30, 60], left, 40, [1000])
+    assert [30, 10] in found and [25, 15] in found and [25, 10] not in found and [30] not in found
 
 
 def test_sequences_hold_every_token_once(spark):

@@ -191,13 +191,35 @@ def test_leaks_equal_brute_force(spark):
     docs += [("0", docs[0][1]), ("null", None), ("empty", ""), (None, docs[1][1])]
     df = spark.createDataFrame([(a, b, 1) for a, b in docs], "id string, text string, item_id int")
     it = spark.createDataFrame(items + [(0, items[0][1]), (99, None), (98, " ... ")], "item_id bigint, prompt string")
-    got = [(x.doc_key, x.item_id) for x in leaks.leaked_items(df, "id", "text", it, "item_id", "prompt").collect()]
-    want = {(a, i) for a, b in docs if a and b for i, t in items if brute_leak(b, t)}
-    assert len(got) == len(set(got)) and set(got) == want
+    rows = leaks.leaked_items(df, "id", "text", it, "item_id", "prompt").collect()
+    got = [(x.doc_key, x.item_id) for x in rows if x.stretch >= x.need]
+    want = {(a, i) for a, b in docs if a and b for i, t in items if len(t.split()) >= 8 and brute_leak(b, t)}
+    assert len(got) == len(set(got)) and {g for g in got if g[1] > 2} == want
+    assert all(x.stretch >= x.need or x.coverage >= leaks.COVERAGE for x in rows)
     assert leaks.leaked_items(df.limit(0), "id", "text", it, "item_id", "prompt").count() == 0
     assert leaks.leaked_items(df, "id", "text", it.limit(0), "item_id", "prompt").count() == 0
 
 
+def test_reordered_passages_leak_by_coverage(spark):
+    w = [f"w{k}" for k in range(24)]
+    docs = [("thirds", " ".join(w[16:] + w[8:16] + w[:8])), ("edited", " ".join(w[:6] + ["x"] + w[6:12] + w[13:])), ("opening", " ".join(w[:7] + ["y"] * 30))]
+    df = spark.createDataFrame(docs, "id string, text string")
+    it = spark.createDataFrame([(1, " ".join(w)), (2, "the dog"), (3, " ".join(w))], "item_id bigint, prompt string")
+    rows = {(x.doc_key, x.item_id): (x.coverage, x.stretch, x.need) for x in leaks.leaked_items(df, "id", "text", it, "item_id", "prompt").collect()}
+    assert set(rows) == {(d, i) for d in ("thirds", "edited") for i in (1, 3)}
+    assert rows["thirds", 1] == (1.0, 8, 12) and rows["edited", 1][0] > 0.9
+
+
+def test_hot_seeds_lose_no_leak(spark):
+    """Items with a common opening: its seeds leave the index, and a document with an item's own half still leaks."""
+    opening = [f"o{k}" for k in range(10)]
+    own = {i: [f"i{i}x{k}" for k in range(12)] for i in range(40)}
+    it = spark.createDataFrame([(i, " ".join(opening + own[i])) for i in own], "item_id bigint, prompt string")
+    docs = [(str(i), " ".join(opening[3:] + own[i][:6])) for i in own] + [("none", " ".join(opening))]
+    rows = leaks.leaked_items(spark.createDataFrame(docs, "id string, text string"), "id", "text", it, "item_id", "prompt").where("stretch >= need").collect()
+    assert sorted((int(x.doc_key), x.item_id) for x in rows) == [(i, i) for i in own]
+
+
 def test_tiles_cover_reordered_passages():
     item = np.arange(20)
     doc = np.r_[item[10:], 99, item[:10]]
