@@ -8,6 +8,7 @@ reaches the wanted one are compared exactly.
 To join without the chunks that stand in a large part of all records, an evaluation record leaves out its most
 frequent chunks as long as these make up less than the wanted fraction of it: a pair that reaches the fraction shares
 at least one of the others (prefix filter), so nothing is lost by it. Exact copies on either side are one class.
+Only digests and sizes of chunks travel through these joins; the texts are read again for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -97,12 +98,12 @@ def _chunks(batches, how, min_words):
         total = np.add.reduceat(size, np.flatnonzero(new))
         per = np.bincount(rec[new], minlength=len(n))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("side"), batch.column("id"), pa.array([x.tobytes() for x in whole], type=pa.binary()), lists(h.view(np.int64), n, pa.int64()), lists(digest[new].view(np.int64), per, pa.int64()), lists(total, per, pa.int32())],
-            names=["side", "id", "digest", "w", "chunks", "sizes"],
+            [batch.column("side"), batch.column("id"), pa.array([x.tobytes() for x in whole], type=pa.binary()), pa.array(n.astype(np.int32)), lists((digest[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), per, pa.int32()), lists(total, per, pa.int32())],
+            names=["side", "id", "digest", "n", "chunks", "sizes"],
         )
 
 
-_CHUNKED = "side string, id string, digest binary, w array<bigint>, chunks array<bigint>, sizes array<int>"
+_CHUNKED = "side string, id string, digest binary, n int, chunks array<int>, sizes array<int>"
 
 
 def same_runs(a: np.ndarray, b: np.ndarray) -> bool:
@@ -131,22 +132,29 @@ def few_edits(a: np.ndarray, b: np.ndarray, most: int = 3) -> bool:
     return row[-1] <= most
 
 
-def _verify(batches, how, same):
-    """Overlap fractions of all pairs of a batch at once; the exact comparison only where the fraction is reached."""
+def _shares(batches, how):
+    """Overlap fractions of all pairs of a batch at once; only pairs that reach the wanted one go on."""
     for batch in batches:
-        (we, ne), (wt, nt), (ce, me), (se, _), (ct, mt) = [segments(batch.column(c)) for c in ("we", "wt", "ce", "se", "ct")]
+        (ce, me), (se, _), (ct, mt) = [segments(batch.column(c)) for c in ("ce", "se", "ct")]
         of = np.repeat(np.arange(len(me), dtype=np.uint64), me)
-        mine = of << np.uint64(44) | ce.view(np.uint64) >> np.uint64(20)
-        other = np.repeat(np.arange(len(mt), dtype=np.uint64), mt) << np.uint64(44) | ct.view(np.uint64) >> np.uint64(20)
-        other = np.sort(other)
+        mine = of << np.uint64(32) | ce.view(np.uint32).astype(np.uint64)
+        other = np.sort(np.repeat(np.arange(len(mt), dtype=np.uint64), mt) << np.uint64(32) | ct.view(np.uint32).astype(np.uint64))
         near = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
         shared = other[near] == mine if len(other) else np.zeros(len(mine), bool)
-        share = np.bincount(of.astype(np.int64), weights=se * shared, minlength=len(ne)) / np.maximum(ne * how.cuttings, 1)
-        keep = share >= how.fraction
-        es, ts = starts_of(ne), starts_of(nt)
-        for k in np.flatnonzero(keep).tolist():
-            keep[k] = same(we[es[k] : es[k + 1]], wt[ts[k] : ts[k + 1]])
-        yield pa.RecordBatch.from_arrays([batch.column("e"), batch.column("t"), pa.array(share)], names=["e", "t", "share"]).filter(pa.array(keep))
+        n = batch.column("n").to_numpy()
+        share = np.bincount(of.astype(np.int64), weights=se * shared, minlength=len(n)) / np.maximum(n * how.cuttings, 1)
+        yield pa.RecordBatch.from_arrays([batch.column("e"), batch.column("t"), pa.array(share)], names=["e", "t", "share"]).filter(pa.array(share >= how.fraction))
+
+
+def _verify(batches, same):
+    """The exact comparison of the texts of each pair."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch = whole.slice(at, 4096)
+            (we, ne), (wt, nt) = word_hashes(batch.column("te")), word_hashes(batch.column("tt"))
+            es, ts = starts_of(ne), starts_of(nt)
+            keep = [same(we[es[k] : es[k + 1]], wt[ts[k] : ts[k + 1]]) for k in range(batch.num_rows)]
+            yield batch.select(["e", "t", "share"]).filter(pa.array(keep, type=pa.bool_()))
 
 
 def overlapping_records(evaluation: DataFrame, training: DataFrame, how: Cutting, same, min_words: int = 1) -> DataFrame:
@@ -156,22 +164,31 @@ def overlapping_records(evaluation: DataFrame, training: DataFrame, how: Cutting
     min_words words, aren't records. No pair of keys comes twice. Empty inputs give an empty result.
     """
     sides = evaluation.select(F.lit("e").alias("side"), F.col("key").cast("string").alias("id"), "text").unionByName(training.select(F.lit("t").alias("side"), F.col("key").cast("string").alias("id"), "text"))
-    records = cut(sides.where("id is not null and text is not null").mapInArrow(lambda it: _chunks(it, how, min_words), _CHUNKED), "chunks")
-    firsts = records.groupBy("side", "digest").agg(F.min("id").alias("cls"), *[F.first(c).alias(c) for c in ("w", "chunks", "sizes")])
-    classes = cut(firsts, "classes")
-    members = records.select("side", "id", "digest").distinct().join(classes.select("side", "digest", "cls"), ["side", "digest"])
+    sides = sides.where("id is not null and text is not null")
+    records = cut(sides.mapInArrow(lambda it: _chunks(it, how, min_words), _CHUNKED), "chunks")
+    members = cut(records.select("side", "digest", "id").distinct(), "members")
+    firsts = members.groupBy("side", "digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    # most records have no copies; those that stand for others, or are stood for, are few beside them
+    copies = members.join(firsts.where("copies > 1").select("side", "digest", F.col("id").alias("cls")), ["side", "digest"]).where("id != cls").select("side", "id", "cls")
+    classes = records.join(copies, ["side", "id"], "left_anti").dropDuplicates(["side", "id"]).select("side", F.col("id").alias("cls"), "n", "chunks", "sizes")
+    classes = cut(classes, "classes")
     e, t = classes.where("side = 'e'"), classes.where("side = 't'")
-    ek = e.select(F.col("cls").alias("e"), F.size("w").alias("n"), F.posexplode("chunks").alias("at", "chunk"), "sizes").select("e", "n", "chunk", F.get("sizes", F.col("at")).alias("size"))
-    tk = t.select(F.col("cls").alias("t"), F.explode("chunks").alias("chunk"))
+    ek = e.select(F.col("cls").alias("e"), "n", F.posexplode("chunks").alias("at", "chunk"), "sizes").select("e", "n", "chunk", F.get("sizes", F.col("at")).alias("size"))
+    tk = t.select(F.col("cls").alias("t"), F.explode("chunks").alias("chunk")).join(ek.select("chunk").distinct(), "chunk", "left_semi")
     seen = tk.groupBy("chunk").agg(F.count("*").alias("df"))
     frequent_first = Window.partitionBy("e").orderBy(F.desc("df"), "chunk").rowsBetween(Window.unboundedPreceding, 0)
     kept = ek.join(seen, "chunk", "left").withColumn("sofar", F.sum("size").over(frequent_first)).where((F.col("sofar") >= how.fraction * how.cuttings * F.col("n")) & F.col("df").isNotNull())
     pairs = kept.select("e", "chunk").join(tk, "chunk").select("e", "t").distinct()
-    full = pairs.join(e.select(F.col("cls").alias("e"), F.col("w").alias("we"), F.col("chunks").alias("ce"), F.col("sizes").alias("se")), "e").join(t.select(F.col("cls").alias("t"), F.col("w").alias("wt"), F.col("chunks").alias("ct")), "t")
-    same_pairs = full.mapInArrow(lambda it: _verify(it, how, same), "e string, t string, share double")
-    me = members.where("side = 'e'").select(F.col("id").alias("eval_key"), F.col("cls").alias("e"))
-    mt = members.where("side = 't'").select(F.col("id").alias("train_key"), F.col("cls").alias("t"))
-    return same_pairs.join(me, "e").join(mt, "t").select("eval_key", "train_key", "share")
+    full = pairs.join(e.select(F.col("cls").alias("e"), "n", F.col("chunks").alias("ce"), F.col("sizes").alias("se")), "e").join(t.select(F.col("cls").alias("t"), F.col("chunks").alias("ct")), "t")
+    near = cut(full.mapInArrow(lambda it: _shares(it, how), "e string, t string, share double"), "near")
+    texts = {s: sides.where(F.col("side") == s).select(F.col("id").alias(s), F.col("text").alias(f"t{s}")).join(near.select(s).distinct(), s, "left_semi").distinct() for s in "et"}
+    exact = near.join(texts["e"], "e").join(texts["t"], "t").select("e", "t", "share", "te", "tt").mapInArrow(lambda it: _verify(it, same), "e string, t string, share double").distinct()
+    me, mt = [copies.where(F.col("side") == s).select(F.col("cls").alias(s), F.col("id").alias(f"own_{s}")) for s in "et"]
+    # each class stands for itself and for its copies
+    found = exact
+    for s, m in (("e", me), ("t", mt)):
+        found = found.unionByName(found.join(m, s).drop(s).withColumnRenamed(f"own_{s}", s))
+    return found.select(F.col("e").alias("eval_key"), F.col("t").alias("train_key"), "share")
 
 
 def cross_split_overlaps(unseen: DataFrame, non_toxic: DataFrame, paradetox: DataFrame) -> DataFrame:
