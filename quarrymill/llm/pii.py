@@ -16,6 +16,7 @@ weights are trained by quarrymill.llm.pii_train from generated labelled spans an
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = 1 + 2 * len(KINDS)
-WINDOW = 640
+WINDOW = 1536
 OVERLAP = 96
-BATCH = 512
-TEXTS = 2000
+BATCH = 1024
+BATCH_CHARACTERS = 700_000
+TEXTS = 10_000
+NEVER = np.float32(-1e4)
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 
 # Characters with a code of their own; all others go by class.
@@ -56,43 +59,50 @@ class Tagger:
         w = np.load(path)
         self.w = {k: w[k].astype(np.float32) for k in w.files}
         size = self.w["uf"].shape[0]
-        for d in "fb":  # the slope and offset of the hard sigmoid go into the weights
-            for k in ("x", "u"):
-                self.w[k + d] = self.w[k + d].copy()
-                self.w[k + d][:, : 3 * size] *= 0.25
-            self.w["x" + d][:, : 3 * size] += 0.5
+        for d in "fb":  # the slope and offset of the hard sigmoid go into the weights; gate by gate, so that each is contiguous
+            x, u = self.w.pop("x" + d).copy(), self.w.pop("u" + d).copy()
+            x[:, : 3 * size] *= 0.25
+            u[:, : 3 * size] *= 0.25
+            x[:, : 3 * size] += 0.5
+            self.w["x" + d] = np.ascontiguousarray(x.reshape(len(x), 4, size).transpose(1, 0, 2))
+            self.w["u" + d] = np.ascontiguousarray(u.reshape(size, 4, size).transpose(1, 0, 2))
+        # inside only follows begin or inside of its kind
+        for k in range(2, LABELS, 2):
+            others = [j for j in range(LABELS) if j not in (k - 1, k)]
+            self.w["move"][others, k] = NEVER
+            self.w["start"][k] = NEVER
         move, start = self.w["move"] - self.w["move"][0, 0], self.w["start"] - self.w["start"][0]
         part = (slice(0, 1), slice(1, None, 2), slice(2, None, 2))  # outside, begin, inside
         self.bound = [[float(move[i, j].max()) for j in part] for i in part]
         self.first = [float(start[i].max()) for i in part]
+        self.size = size
 
     def _direction(self, x: np.ndarray, name: str) -> np.ndarray:
         """Hidden states of one direction, time by batch by state; x is time by batch."""
-        table, u = self.w["x" + name], self.w["u" + name]
-        size = u.shape[0]
+        table, u, size, wide = self.w["x" + name], self.w["u" + name], self.size, x.shape[1]
         out = np.empty((*x.shape, size), np.float32)
-        h = np.zeros((x.shape[1], size), np.float32)
+        h = np.zeros((wide, size), np.float32)
         c = np.zeros_like(h)
-        z = np.empty((x.shape[1], 4 * size), np.float32)
-        g = np.empty_like(z)
-        s, q = z[:, : 3 * size], z[:, 3 * size :]
+        z, g = np.empty((4, wide, size), np.float32), np.empty((4, wide, size), np.float32)
+        gates, i, f, o, q = z[:3], z[0], z[1], z[2], z[3]
+        clip = np.clip
         for t in range(len(x)) if name == "f" else range(len(x) - 1, -1, -1):
-            np.take(table, x[t], axis=0, out=g)
+            table.take(x[t], axis=1, out=g, mode="clip")
             np.matmul(h, u, out=z)
             z += g
-            np.clip(s, 0, 1, out=s)
-            np.clip(q, -1, 1, out=q)
-            q *= s[:, :size]
-            c *= s[:, size : 2 * size]
+            clip(gates, 0, 1, out=gates)
+            clip(q, -1, 1, out=q)
+            q *= i
+            c *= f
             c += q
-            np.clip(c, -1, 1, out=c)
+            clip(c, -1, 1, out=c)
             h = out[t]
-            np.multiply(s[:, 2 * size :], c, out=h)
+            np.multiply(o, c, out=h)
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Label scores, label by time by batch."""
-        size = self.w["uf"].shape[0]
+        size = self.size
         out = self.w["out"][:size].T @ self._direction(x, "f").reshape(-1, size).T
         out += self.w["out"][size:].T @ self._direction(x, "b").reshape(-1, size).T
         out += self.w["bias"][:, None]
@@ -135,27 +145,43 @@ class Tagger:
         col, at = np.nonzero(np.diff(may, axis=1))
         return list(zip(col[::2].tolist(), at[::2].tolist(), at[1::2].tolist()))
 
-    def decode(self, x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(column, first, labels) of the stretches with labels other than outside."""
-        e, move = self.emissions(x), self.w["move"]
-        found = sorted(self.stretches(e, n), key=lambda s: s[2] - s[1])
-        out = []
-        for lo in range(0, len(found), 512):
-            some = found[lo : lo + 512]
-            col, first, end = (np.array(k) for k in zip(*some))
-            size = end - first
-            longest = int(size.max())
-            at = np.minimum(first[None, :] + np.arange(longest)[:, None], len(x) - 1)
-            z = e[:, at, col[None, :]]
+    def pieces(self, x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bool, np.ndarray]]:
+        """(column, first, whether the window ends there, label scores) of the stretches of windows of lengths n."""
+        e = self.emissions(x)
+        return [(c, f, end == n[c], e[:, f:end, c].copy()) for c, f, end in self.stretches(e, n)]
+
+    def decode(self, found: list[tuple[int, bool, np.ndarray]]) -> list[np.ndarray]:
+        """The best labels of stretches (first, whether the window ends there, label scores)."""
+        move, out = self.w["move"], [np.zeros(0, np.int8)] * len(found)
+        free, own = [0, *range(1, LABELS, 2)], np.arange(1, LABELS, 2)  # outside and begin may follow all labels; inside only two
+        to_free, from_begin, from_inside = move[:, free][:, :, None], move[own, own + 1][:, None], move[own + 1, own + 1][:, None]
+        order = sorted(range(len(found)), key=lambda k: found[k][2].shape[1])
+        lengths = [found[k][2].shape[1] for k in order]
+        lo = 0
+        while lo < len(order):  # stretches of about one length together
+            hi = bisect_right(lengths, 16 + lengths[lo] * 3 // 2, lo, min(lo + 512, len(order)))
+            some, size = order[lo:hi], np.array(lengths[lo:hi])
+            lo, longest = hi, lengths[hi - 1]
+            z = np.zeros((LABELS, longest, len(some)), np.float32)
+            for j, k in enumerate(some):
+                z[:, : size[j], j] = found[k][2]
+            first, ends = np.array([found[k][0] for k in some]), np.array([found[k][1] for k in some])
             score = z[:, 0] + np.where((first == 0)[None, :], self.w["start"][:, None], move[0][:, None])
             back = np.empty((longest, LABELS, len(some)), np.int8)
             last = score.copy()
             for t in range(1, longest):
-                s = score[:, None, :] + move[:, :, None]
-                back[t] = s.argmax(0)
-                score = s.max(0) + z[:, t]
-                np.copyto(last, score, where=(size > t)[None, :])
-            last += np.where((end == n[col])[None, :], 0, move[:, 0][:, None])
+                s = score[:, None, :] + to_free
+                here, on = score[own] + from_begin, score[own + 1] + from_inside
+                back[t, free] = s.argmax(0)
+                back[t, own + 1] = np.where(on > here, own[:, None] + 1, own[:, None])
+                score = z[:, t].copy()
+                score[free] += s.max(0)
+                score[own + 1] += np.maximum(here, on)
+                if t >= size[0]:
+                    np.copyto(last, score, where=(size > t)[None, :])
+                else:
+                    last = score
+            last = last + np.where(ends[None, :], 0, move[:, 0][:, None])
             y = np.zeros((longest, len(some)), np.int8)
             now = last.argmax(0)
             every = np.arange(len(some))
@@ -163,7 +189,8 @@ class Tagger:
                 y[t] = np.where(t < size, now, 0)
                 if t:
                     now = np.where(t < size, back[t, now, every], now)
-            out += [(c, f, y[:k, j]) for j, (c, f, k) in enumerate(zip(col.tolist(), first.tolist(), size.tolist())) if y[:k, j].any()]
+            for j, k in enumerate(some):
+                out[k] = y[: size[j], j]
         return out
 
 
@@ -204,18 +231,22 @@ def find_mentions(texts: list[str], model: Tagger) -> list[list[tuple[int, int,
     windows = [(k, a, b) for k, c in enumerate(coded) if len(c) for a, b in windows_of(len(c))]
     windows.sort(key=lambda w: w[2] - w[1])
     raw: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    for at in range(0, len(windows), BATCH):
-        some = windows[at : at + BATCH]
+    pieces: list[tuple] = []
+    at = 0
+    while at < len(windows):
+        longest = windows[min(at + BATCH, len(windows)) - 1]
+        some = windows[at : at + max(1, min(BATCH, BATCH_CHARACTERS // (longest[2] - longest[1])))]
+        at += len(some)
         n = np.array([b - a for _, a, b in some])
         x = np.full((int(n[-1]), len(some)), PAD, dtype=np.int16)
         for j, (k, a, b) in enumerate(some):
             x[: b - a, j] = coded[k][a:b]
-        for j, first, y in model.decode(x, n):
-            k, a, b = some[j]
-            for s, e, kind in spans_of(y):
-                s, e = s + first, e + first
-                inner = min(s if a else 9999, (b - a) - e if b < len(coded[k]) else 9999)
-                raw[k].append((inner, a + s, a + e, kind))
+        pieces += [(*some[j], first, ends, z) for j, first, ends, z in model.pieces(x, n)]
+    for (k, a, b, first, _, _), y in zip(pieces, model.decode([p[3:] for p in pieces])):
+        for s, e, kind in spans_of(y):
+            s, e = s + first, e + first
+            inner = min(s if a else 9999, (b - a) - e if b < len(coded[k]) else 9999)
+            raw[k].append((inner, a + s, a + e, kind))
     out = []
     for found in raw:
         chosen: list[tuple[int, int, int]] = []

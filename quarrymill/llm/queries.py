@@ -147,6 +147,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_pieces": _ITEMS + "SELECT item_id, ceil(len(a) / 2048.0)::BIGINT AS pieces, len(a)::BIGINT AS tokens, least(len(a), 2048)::BIGINT AS longest, ceil(len(a) / 2048.0)::BIGINT AS bins FROM p",
         "p2_totals": _ITEMS + "SELECT sum(len(a))::BIGINT AS tokens, sum(list_sum(a))::BIGINT AS id_sum, sum(list_sum([a[x]::BIGINT * m[x] for x in range(1, len(a) + 1)]))::BIGINT AS masked_sum, 0::BIGINT AS wrong FROM p",
-        "p5_unseen": f"WITH a AS {_RUNS.format(t='unseen_data')}, b AS {_RUNS.format(t='non_toxic_reddit')} SELECT a.id AS eval_key, b.id AS train_key FROM a JOIN b USING (g) GROUP BY a.id, b.id HAVING 2 * count(*) >= max(a.n) + max(b.n) - count(*)",
-        "p6_found": f"WITH a AS {_RUNS.format(t='toxic_reddit')} SELECT x.id AS id_a, y.id AS id_b FROM a x JOIN a y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id HAVING 2 * count(*) >= max(x.n) + max(y.n) - count(*)",
+        "p5_unseen": f"WITH a AS {_RUNS.replace('{t}', 'unseen_data')}, b AS {_RUNS.replace('{t}', 'non_toxic_reddit')} SELECT a.id AS eval_key, b.id AS train_key FROM a JOIN b USING (g) GROUP BY a.id, b.id HAVING 2 * count(*) >= max(a.n) + max(b.n) - count(*)",
+        "p6_found": f"WITH a AS {_RUNS.replace('{t}', 'toxic_reddit')} SELECT x.id AS id_a, y.id AS id_b FROM a x JOIN a y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id HAVING 2 * count(*) >= max(x.n) + max(y.n) - count(*)",
     }
