@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 def hits(a: Column, pattern: list[int]) -> Column:
     """0-based positions of all, also overlapping, occurrences of the pattern; empty for a longer pattern."""
     m = len(pattern)
-    p = F.array(*[F.lit(x) for x in pattern])
-    return F.when(F.size(a) >= m, F.filter(F.sequence(F.lit(0), F.size(a) - m), lambda i: F.slice(a, i + 1, m) == p)).otherwise(F.array().cast("array<int>"))
+
+    def here(i):
+        test = F.get(a, i) == pattern[0]
+        for j in range(1, m):
+            test &= F.get(a, i + j) == pattern[j]
+        return test
+
+    return F.when(F.size(a) >= m, F.filter(F.sequence(F.lit(0), F.size(a) - m), here)).otherwise(F.array().cast("array<int>"))
 
 
 def pad(a: Column, length: int, value: int, left: bool = False) -> Column:

@@ -61,3 +61,17 @@ def has_word(text: Column, words: list[str]) -> Column:
 
 def has_pattern(a: Column, pattern: list[int]) -> Column:
     return F.size(arrays.hits(a, pattern)) > 0
+
+
+def conversations(pairs: DataFrame, english: float, bad: float, good: float) -> DataFrame:
+    """Pairs in English whose parent is toxic or nsfw (at least bad) and whose child is neither (at most good).
+
+    Expects parent_ and child_ columns of english, toxic and nsfw scores; a null score excludes the pair where it decides."""
+    p, c = lambda k: F.col("parent_" + k), lambda k: F.col("child_" + k)
+    return pairs.where((p("english") >= english) & (c("english") >= english) & ((p("toxic") >= bad) | (p("nsfw") >= bad)) & (c("toxic") <= good) & (c("nsfw") <= good))
+
+
+def mentions_any(df: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Distinct keys of the texts that hold any of the names as a word between blanks: a semi-join on words, for lists of any length."""
+    words = df.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
+    return words.join(names.select(F.col(name).alias("_w")), "_w", "left_semi").select(key).distinct()

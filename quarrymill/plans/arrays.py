@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import string
+
 from pyspark.sql import functions as F
 
 from quarrymill.functions import arrays as ar
 from quarrymill.functions.text import let
+from quarrymill.operators import tokens as tk
 from quarrymill.plans.registry import query
 
 ITEMS = "WITH d AS (SELECT item_id, max(input_ids) AS a FROM input_ids WHERE len(input_ids) > 0 GROUP BY item_id) "
@@ -14,62 +16,54 @@ EOS = 50279
 
 
 def items(i):
-    """One row for each item with tokens."""
+    """One row for each item with tokens, for results that need the tokens of all rows."""
     return i.where(F.size("input_ids") > 0).groupBy("item_id").agg(F.max("input_ids").alias("a"))
 
 
+def each_item(i, **columns):
+    """One row for each item with tokens: the columns (of a, its tokens) are computed first, and only they are shuffled
+    when repeated rows become one. A null condition column named keep drops rows."""
+    rows = i.where(F.size("input_ids") > 0).select("item_id", F.col("input_ids").alias("a"))
+    if "keep" in columns:
+        rows = rows.where(columns.pop("keep"))
+    if not columns:
+        return rows.select("item_id").distinct()
+    return rows.select("item_id", F.struct(*[v.alias(k) for k, v in columns.items()]).alias("r")).groupBy("item_id").agg(F.max("r").alias("r")).select("item_id", "r.*")
+
+
 def digest(c):
     """An array as text, digested, for comparison across engines."""
     return F.md5(F.array_join(c.cast("array<string>"), ","))
 
 
-@query("p11_word_tokens", "paradetox", "SELECT pair_id, array_to_string(regexp_extract_all(en_toxic_comment, '[^ ]+'), '|') AS tokens FROM paradetox WHERE en_toxic_comment IS NOT NULL")
+@query("pr11_word_tokens", "paradetox", "SELECT pair_id, array_to_string(regexp_extract_all(en_toxic_comment, '[^ ]+'), '|') AS tokens FROM paradetox WHERE en_toxic_comment IS NOT NULL")
 def p11(p):
     return p.where("en_toxic_comment is not null").select("pair_id", F.array_join(F.regexp_extract_all("en_toxic_comment", F.lit("[^ ]+"), F.lit(0)), "|").alias("tokens"))
 
 
-@query("p12_keep_mask", "input_ids", ITEMS + "SELECT item_id, (len(a) * 3 // 10)::BIGINT AS kept FROM d")
-def p12(i):
-    """A share of the positions, those of the smallest hashes, keeps its tokens."""
-    order = F.array_sort(F.transform("a", lambda x, k: F.struct(F.md5(F.concat_ws(":", F.col("item_id"), k)).alias("h"), k.alias("k"))))
-    kept = F.slice(order, F.lit(1), F.floor(F.size("a") * 3 / 10).cast("int"))
-    return items(i).select("item_id", F.size(kept).cast("bigint").alias("kept"))
-
-
-@query("p15_pad", "input_ids", ITEMS + "SELECT item_id, md5(array_to_string(a[1:256] || [0 for x in range(greatest(256 - len(a), 0))], ',')) AS ids, md5(array_to_string([1 for x in a[1:256]] || [0 for x in range(greatest(256 - len(a), 0))], ',')) AS mask FROM d")
+@query("pr15_pad", "input_ids", ITEMS + "SELECT item_id, md5(array_to_string(a[1:256] || [0 for x in range(greatest(256 - len(a), 0))], ',')) AS ids, md5(array_to_string([1 for x in a[1:256]] || [0 for x in range(greatest(256 - len(a), 0))], ',')) AS mask FROM d")
 def p15(i):
-    return items(i).select("item_id", digest(ar.pad(F.col("a"), 256, 0)).alias("ids"), digest(ar.pad(F.transform("a", lambda x: F.lit(1)), 256, 0)).alias("mask"))
-
-
-@query("p16_fair_trim", "paradetox", """WITH d AS (SELECT pair_id, string_split(en_toxic_comment, ' ') AS x, string_split(en_neutral_comment, ' ') AS y FROM paradetox WHERE en_toxic_comment IS NOT NULL AND en_neutral_comment IS NOT NULL),
- e AS (SELECT *, CASE WHEN len(x) + len(y) <= 32 THEN len(x) WHEN len(y) <= 16 THEN 32 - len(y) WHEN len(x) <= 16 THEN len(x) ELSE 16 END AS nx FROM d)
- SELECT pair_id, least(len(x), nx)::BIGINT AS left_words, least(len(y), 32 - least(len(x), nx))::BIGINT AS right_words FROM e""")
-def p16(p):
-    """Two sides share 32 places: the longer one is trimmed first, then both to half."""
-    x, y = F.size(F.split("en_toxic_comment", " ")), F.size(F.split("en_neutral_comment", " "))
-    nx = F.when(x + y <= 32, x).when(y <= 16, F.lit(32) - y).when(x <= 16, x).otherwise(16)
-    left = F.least(x, nx)
-    return p.where("en_toxic_comment is not null and en_neutral_comment is not null").select("pair_id", left.cast("bigint").alias("left_words"), F.least(y, F.lit(32) - left).cast("bigint").alias("right_words"))
+    return each_item(i, ids=digest(ar.pad(F.col("a"), 256, 0)), mask=digest(ar.pad(F.transform("a", lambda x: F.lit(1)), 256, 0)))
 
 
-@query("p18_classifier_row", "input_ids", ITEMS + """SELECT item_id, len(a) > 511 AS skip, md5(array_to_string(a[1:511] || [1 for x in range(greatest(511 - len(a), 0))], ',')) AS ids, least(len(a), 511)::BIGINT AS label_position FROM d""")
+@query("pr18_classifier_row", "input_ids", ITEMS + """SELECT item_id, len(a) > 511 AS skip, md5(array_to_string(a[1:511] || [1 for x in range(greatest(511 - len(a), 0))], ',')) AS ids, least(len(a), 511)::BIGINT AS label_position FROM d""")
 def p18(i):
-    return items(i).select("item_id", (F.size("a") > 511).alias("skip"), digest(ar.pad(F.col("a"), 511, 1)).alias("ids"), F.least(F.size("a"), F.lit(511)).cast("bigint").alias("label_position"))
+    return each_item(i, skip=(F.size("a") > 511), ids=digest(ar.pad(F.col("a"), 511, 1)), label_position=F.least(F.size("a"), F.lit(511)).cast("bigint"))
 
 
-@query("p19_left_pad", "input_ids", ITEMS + "SELECT item_id, md5(array_to_string([1 for x in range(greatest(128 - len(a), 0))] || a[1:128], ',')) AS ids FROM d")
+@query("pr19_left_pad", "input_ids", ITEMS + "SELECT item_id, md5(array_to_string([1 for x in range(greatest(128 - len(a), 0))] || a[1:128], ',')) AS ids FROM d")
 def p19(i):
-    return items(i).select("item_id", digest(ar.pad(F.col("a"), 128, 1, left=True)).alias("ids"))
+    return each_item(i, ids=digest(ar.pad(F.col("a"), 128, 1, left=True)))
 
 
-@query("p20_mask_pattern", "input_ids", ITEMS + "SELECT item_id, len([x for x in a if x <> 15838 and x <> 7919])::BIGINT AS kept, md5(array_to_string([CASE WHEN x = 15838 OR x = 7919 THEN 0 ELSE 1 END for x in a], ',')) AS mask FROM d")
+@query("pr20_mask_pattern", "input_ids", ITEMS + "SELECT item_id, len([x for x in a if x <> 15838 and x <> 7919])::BIGINT AS kept, md5(array_to_string([CASE WHEN x = 15838 OR x = 7919 THEN 0 ELSE 1 END for x in a], ',')) AS mask FROM d")
 def p20(i):
     """Mask 0 on listed tokens."""
     mask = F.transform("a", lambda x: F.when(x.isin(15838, 7919), 0).otherwise(1))
-    return items(i).select("item_id", F.aggregate(mask, F.lit(0), lambda n, x: n + x).cast("bigint").alias("kept"), digest(mask).alias("mask"))
+    return each_item(i, kept=F.aggregate(mask, F.lit(0), lambda n, x: n + x).cast("bigint"), mask=digest(mask))
 
 
-@query("p22_chat_flatten", "paradetox", """SELECT pair_id, md5(string_agg('<|' || role || '|>' || chr(10) || content, chr(10) ORDER BY turn)) AS chat, sum(CASE WHEN role = 'assistant' THEN length(content) ELSE 0 END)::BIGINT AS trained FROM (
+@query("pr22_chat_flatten", "paradetox", """SELECT pair_id, md5(string_agg('<|' || role || '|>' || chr(10) || content, chr(10) ORDER BY turn)) AS chat, sum(CASE WHEN role = 'assistant' THEN length(content) ELSE 0 END)::BIGINT AS trained FROM (
  SELECT pair_id, 1 AS turn, 'user' AS role, max(en_toxic_comment) AS content FROM paradetox GROUP BY pair_id UNION ALL SELECT pair_id, 2, 'assistant', max(en_neutral_comment) FROM paradetox GROUP BY pair_id) WHERE content IS NOT NULL GROUP BY pair_id""")
 def p22(p):
     one = p.groupBy("pair_id").agg(F.max("en_toxic_comment").alias("user"), F.max("en_neutral_comment").alias("assistant"))
@@ -79,82 +73,79 @@ def p22(p):
     return turns.select("pair_id", F.md5(F.array_join(said, "\n")).alias("chat"), trained.cast("bigint").alias("trained"))
 
 
-@query("p23_collate", "input_ids", ITEMS + ", e AS (SELECT *, item_id // 8 AS batch FROM d), f AS (SELECT *, max(len(a)) OVER (PARTITION BY batch) AS n FROM e) SELECT item_id, n::BIGINT AS width, md5(array_to_string(a || [0 for x in range(n - len(a))], ',')) AS ids FROM f")
+@query("pr23_collate", "input_ids", ITEMS + ", e AS (SELECT *, item_id // 8 AS batch FROM d), f AS (SELECT *, max(len(a)) OVER (PARTITION BY batch) AS n FROM e) SELECT item_id, n::BIGINT AS width, md5(array_to_string(a || [0 for x in range(n - len(a))], ',')) AS ids FROM f")
 def p23(i):
-    b = items(i).withColumn("n", F.max(F.size("a")).over(Window.partitionBy(F.floor(F.col("item_id") / 8))))
-    return b.select("item_id", F.col("n").cast("bigint").alias("width"), digest(F.concat("a", F.array_repeat(F.lit(0), F.col("n") - F.size("a")))).alias("ids"))
+    rows = i.where(F.size("input_ids") > 0).select("item_id", F.col("input_ids").alias("a"))
+    b = tk.collate(rows, F.floor(F.col("item_id") / 8), {"a": 0})
+    return b.select("item_id", F.col("width").cast("bigint").alias("width"), digest(F.col("a")).alias("ids")).distinct()
 
 
-@query("p24_document_lengths", "input_ids", ITEMS + f", e AS (SELECT item_id, [k for k in range(1, len(a) + 1) if a[k] = {EOS}] AS p FROM d) SELECT item_id, array_to_string([p[k] - CASE WHEN k = 1 THEN 0 ELSE p[k - 1] END for k in range(1, len(p) + 1)], ',') AS lengths FROM e")
+@query("pr24_document_lengths", "input_ids", ITEMS + f", e AS (SELECT item_id, [k for k in range(1, len(a) + 1) if a[k] = {EOS}] AS p FROM d) SELECT item_id, array_to_string([p[k] - CASE WHEN k = 1 THEN 0 ELSE p[k - 1] END for k in range(1, len(p) + 1)], ',') AS lengths FROM e")
 def p24(i):
     ends = F.filter(F.transform("a", lambda x, k: F.when(x == EOS, k + 1)), lambda k: k.isNotNull())
     lengths = F.zip_with("p", F.concat(F.array(F.lit(0)), F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0)))), lambda a, b: a - b)
-    some = items(i).select("item_id", ends.alias("p"))
+    some = each_item(i, p=ends)
     return some.select("item_id", F.when(F.size("p") > 0, F.array_join(lengths.cast("array<string>"), ",")).otherwise("").alias("lengths"))
 
 
-@query("p25_loss_mask_positions", "input_ids", ITEMS + f"SELECT item_id, len([x for x in a if x <> {EOS}])::BIGINT AS trained, (len(a) - 1)::BIGINT AS last_position FROM d")
-def p25(i):
-    mask, pos = F.transform("a", lambda x: F.when(x == EOS, 0).otherwise(1)), F.sequence(F.lit(0), F.size("a") - 1)
-    return items(i).select("item_id", F.aggregate(mask, F.lit(0), lambda n, x: n + x).cast("bigint").alias("trained"), F.array_max(pos).cast("bigint").alias("last_position"))
-
-
 HITS = "[k - 1 for k in range(1, len(a)) if a[k] = 7919 and a[k + 1] = 15838]"
 
 
 @query("a7_pattern_hits", "input_ids", ITEMS + f"SELECT item_id, array_to_string({HITS}, ',') AS hits FROM d WHERE len({HITS}) > 0")
 def a7(i):
-    return items(i).select("item_id", ar.hits(F.col("a"), [7919, 15838]).alias("h")).where(F.size("h") > 0).select("item_id", F.array_join(F.col("h").cast("array<string>"), ",").alias("hits"))
+    h = ar.hits(F.col("a"), [7919, 15838])
+    return each_item(i, hits=let(h, lambda x: F.array_join(x.cast("array<string>"), ","))).where("hits <> ''")
 
 
 @query("f20_has_pattern", "input_ids", ITEMS + f"SELECT item_id FROM d WHERE len({HITS}) > 0")
 def f20(i):
-    return items(i).where(F.size(ar.hits(F.col("a"), [7919, 15838])) > 0).select("item_id")
+    return each_item(i, keep=F.size(ar.hits(F.col("a"), [7919, 15838])) > 0)
 
 
 @query("f21_position_window", "input_ids", ITEMS + f", e AS (SELECT item_id, a, unnest({HITS}) AS i FROM d) SELECT item_id, count(*)::BIGINT AS n FROM e WHERE i >= 10 AND i + 2 <= len(a) GROUP BY item_id")
 def f21(i):
-    return items(i).select("item_id", F.size("a").alias("n"), F.explode(ar.hits(F.col("a"), [7919, 15838])).alias("i")).where("i >= 10 and i + 2 <= n").groupBy("item_id").agg(F.count("*").alias("n"))
+    inside = let(ar.hits(F.col("a"), [7919, 15838]), lambda h: F.size(F.filter(h, lambda k: (k >= 10) & (k + 2 <= F.size("a")))))
+    return each_item(i, n=inside.cast("bigint")).where("n > 0")
 
 
-@query("p26_prefix_mask", "input_ids", ITEMS + f", e AS (SELECT item_id, a, list_min({HITS}) AS i FROM d) SELECT item_id, md5(array_to_string([CASE WHEN i IS NOT NULL AND k < i + 2 THEN -100 ELSE a[k + 1] END for k in range(0, len(a))], ',')) AS labels FROM e")
+@query("pr26_prefix_mask", "input_ids", ITEMS + f", e AS (SELECT item_id, a, list_min({HITS}) AS i FROM d) SELECT item_id, md5(array_to_string([CASE WHEN i IS NOT NULL AND k < i + 2 THEN -100 ELSE a[k + 1] END for k in range(0, len(a))], ',')) AS labels FROM e")
 def p26(i):
     masked = let(F.array_min(ar.hits(F.col("a"), [7919, 15838])), lambda first: F.transform("a", lambda x, k: F.when(k < first + 2, -100).otherwise(x)))
-    return items(i).select("item_id", digest(masked).alias("labels"))
+    return each_item(i, labels=digest(masked))
 
 
-@query("p27_pattern_mask", "input_ids", ITEMS + f", e AS (SELECT item_id, a, {HITS} AS h FROM d) SELECT item_id, md5(array_to_string([CASE WHEN list_contains(h, k) OR list_contains(h, k - 1) THEN -100 ELSE a[k + 1] END for k in range(0, len(a))], ',')) AS labels FROM e")
+@query("pr27_pattern_mask", "input_ids", ITEMS + f", e AS (SELECT item_id, a, {HITS} AS h FROM d) SELECT item_id, md5(array_to_string([CASE WHEN list_contains(h, k) OR list_contains(h, k - 1) THEN -100 ELSE a[k + 1] END for k in range(0, len(a))], ',')) AS labels FROM e")
 def p27(i):
     masked = let(ar.hits(F.col("a"), [7919, 15838]), lambda h: F.transform("a", lambda x, k: F.when(F.array_contains(h, k) | F.array_contains(h, k - 1), -100).otherwise(x)))
-    return items(i).select("item_id", digest(masked).alias("labels"))
+    return each_item(i, labels=digest(masked))
 
 
-@query("p28_context_window", "input_ids", ITEMS + f", e AS (SELECT item_id, a, list_min({HITS}) AS i FROM d) SELECT item_id, array_to_string(a[i - 3:i + 2], ',') AS around FROM e WHERE i >= 4")
+@query("pr28_context_window", "input_ids", ITEMS + f", e AS (SELECT item_id, a, list_min({HITS}) AS i FROM d) SELECT item_id, array_to_string(a[i - 3:i + 2], ',') AS around FROM e WHERE i >= 4")
 def p28(i):
-    first = items(i).withColumn("i", F.array_min(ar.hits(F.col("a"), [7919, 15838]))).where("i >= 4")
-    return first.select("item_id", F.array_join(F.slice("a", F.col("i") - 3, 6).cast("array<string>"), ",").alias("around"))
+    around = let(F.array_min(ar.hits(F.col("a"), [7919, 15838])), lambda k: F.when(k >= 4, F.array_join(F.slice("a", k - 3, F.lit(6)).cast("array<string>"), ",")))
+    return each_item(i, around=around).where("around is not null")
 
 
-@query("p33_windows", "input_ids", ITEMS + "SELECT item_id, unnest(range(0, len(a), 512))::BIGINT AS start, unnest([md5(array_to_string(a[k + 1:k + 512], ',')) for k in range(0, len(a), 512)]) AS window FROM d")
+@query("pr33_windows", "input_ids", ITEMS + "SELECT item_id, unnest(range(0, len(a), 512))::BIGINT AS start, unnest([md5(array_to_string(a[k + 1:k + 512], ',')) for k in range(0, len(a), 512)]) AS window FROM d")
 def p33(i):
-    w = items(i).select("item_id", "a", F.explode(F.sequence(F.lit(0), F.size("a") - 1, F.lit(512))).alias("start"))
-    return w.select("item_id", F.col("start").cast("bigint").alias("start"), digest(F.slice("a", F.col("start") + 1, F.lit(512))).alias("window"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("a") - 1, F.lit(512)), lambda k: F.struct(k.cast("bigint").alias("start"), digest(F.slice("a", k + 1, F.lit(512))).alias("window")))
+    return each_item(i, w=windows).select("item_id", F.inline("w"))
 
 
-@query("p34_truncate_eos", "input_ids", ITEMS + f"SELECT item_id, md5(array_to_string(CASE WHEN a[-1] = {EOS} AND len(a) <= 100 THEN a WHEN len(a) < 100 THEN a || [{EOS}] ELSE a[1:99] || [{EOS}] END, ',')) AS ids FROM d")
+@query("pr34_truncate_eos", "input_ids", ITEMS + f"SELECT item_id, md5(array_to_string(CASE WHEN a[-1] = {EOS} AND len(a) <= 100 THEN a WHEN len(a) < 100 THEN a || [{EOS}] ELSE a[1:99] || [{EOS}] END, ',')) AS ids FROM d")
 def p34(i):
     ended = (F.element_at("a", -1) == EOS) & (F.size("a") <= 100)
-    return items(i).select("item_id", digest(F.when(ended, F.col("a")).otherwise(F.concat(F.slice("a", 1, 99), F.array(F.lit(EOS))))).alias("ids"))
+    return each_item(i, ids=digest(F.when(ended, F.col("a")).otherwise(F.concat(F.slice("a", 1, 99), F.array(F.lit(EOS))))))
 
 
 @query("src11_slice", "input_ids", ITEMS + "SELECT item_id, array_to_string(a[6:15], ',') AS part FROM d")
 def src11(i):
-    return items(i).select("item_id", F.array_join(F.slice("a", 6, 10).cast("array<string>"), ",").alias("part"))
+    return each_item(i, part=F.array_join(F.slice("a", 6, 10).cast("array<string>"), ","))
 
 
 @query("f18_budget_items", "input_ids", ITEMS + "SELECT count(*)::BIGINT AS n, sum(len(a))::BIGINT AS tokens FROM d WHERE len(a) <= 2048")
 def f18b(i):
-    return items(i).where(F.size("a") <= 2048).agg(F.count("*").alias("n"), F.sum(F.size("a")).alias("tokens"))
+    return each_item(i, n=F.size("a")).where("n <= 2048").agg(F.count("*").alias("n"), F.sum("n").alias("tokens"))
 
 
 @query("a1_word_ngrams", "paradetox", "SELECT gram, count(*)::BIGINT AS n FROM (SELECT unnest([array_to_string(w[k:k + 2], ' ') for k in range(1, len(w) - 1)]) AS gram FROM (SELECT string_split(en_toxic_comment, ' ') AS w FROM paradetox WHERE en_toxic_comment IS NOT NULL)) GROUP BY gram")
@@ -163,23 +154,15 @@ def a1(p):
     return w.select(F.explode(F.transform(ar.ngrams(F.col("w"), 3), lambda g: F.array_join(g, " "))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"
+PUNCT = string.punctuation
 
 
-@query("a2_normalize", "wildguard", "SELECT item_id, translate(prompt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PUNCT + "', 'abcdefghijklmnopqrstuvwxyz') AS clean FROM wildguard")
+@query("a2_normalize", "wildguard", "SELECT item_id, translate(prompt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PUNCT.replace("'", "''") + "', 'abcdefghijklmnopqrstuvwxyz') AS clean FROM wildguard")
 def a2(w):
     up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return w.select("item_id", F.translate("prompt", up + PUNCT, up.lower()).alias("clean"))
 
 
-@query("a5_detokenize", "paradetox", "SELECT pair_id, replace(replace(replace(en_neutral_comment, ' ,', ','), ' .', '.'), '  ', ' ') AS text FROM paradetox WHERE en_neutral_comment IS NOT NULL")
-def a5(p):
-    c = F.col("en_neutral_comment")
-    for a, b in ((" ,", ","), (" .", "."), ("  ", " ")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return p.where("en_neutral_comment is not null").select("pair_id", c.alias("text"))
-
-
 @query("a6_word_byte_counts", "documents", "SELECT doc_id, len(regexp_split_to_array(text, '[ \\t\\n\\r]+'))::BIGINT AS n_words, octet_length(encode(text))::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL")
 def a6(d):
     return d.where("text is not null").select("doc_id", F.size(F.split("text", "[ \\t\\n\\r]+")).cast("bigint").alias("n_words"), F.octet_length("text").cast("bigint").alias("n_bytes"))
@@ -217,7 +200,7 @@ def a14(w):
 @query("a15_repeated_ngrams", "input_ids", ITEMS + ", e AS (SELECT item_id, [array_to_string(a[k:k + 1], ',') for k in range(1, len(a))] AS g FROM d) SELECT item_id, (len(g) - len(list_distinct(g)))::BIGINT AS repeated FROM e")
 def a15(i):
     g = F.transform(ar.ngrams(F.col("a"), 2), lambda x: F.array_join(x.cast("array<string>"), ","))
-    return items(i).select("item_id", g.alias("g")).select("item_id", (F.size("g") - F.size(F.array_distinct("g"))).cast("bigint").alias("repeated"))
+    return each_item(i, repeated=let(g, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")))
 
 
 @query("a16_math", "civil_comments", "SELECT comment_id, round(exp(toxicity), 6) AS e, round(ln(toxicity + 1), 6) AS l, ceil(toxicity * 10)::BIGINT AS c, floor(toxicity * 10)::BIGINT AS f, round(sqrt(toxicity), 6) AS s, least(greatest(toxicity, 0.2), 0.8) AS clamp FROM civil_comments WHERE toxicity IS NOT NULL")
@@ -237,12 +220,7 @@ def a18(i):
     return i.select(F.explode("input_ids").alias("x")).agg(F.count("*").alias("tokens"), F.max(x).cast("bigint").alias("most"), F.sum((x == EOS).cast("int")).alias("ends"), F.sum(((x < 0) | (x > 65535)).cast("int")).alias("outside"))
 
 
-@query("a19_char_tokens", "wildguard", "SELECT item_id, array_to_string([ascii(c)::VARCHAR for c in string_split(substr(prompt, 1, 40), '')], ',') AS ids FROM wildguard WHERE prompt IS NOT NULL")
+@query("a19_char_tokens", "wildguard", "SELECT item_id, array_to_string([ascii(c)::VARCHAR for c in string_split(prompt, '')], ',') AS ids FROM wildguard WHERE prompt IS NOT NULL")
 def a19(w):
-    return w.where("prompt is not null").select("item_id", F.array_join(F.transform(F.filter(F.split(F.substring("prompt", 1, 40), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ",").alias("ids"))
-
-
-@query("a19_whole_prompts", "wildguard", "SELECT item_id, array_to_string([ascii(c)::VARCHAR for c in string_split(prompt, '')], ',') AS ids FROM wildguard WHERE prompt IS NOT NULL")
-def a19_whole(w):
-    """a19_char_tokens over the whole prompt."""
+    """Characters as ids, over the whole prompt."""
     return w.where("prompt is not null").select("item_id", F.array_join(F.transform(F.filter(F.split("prompt", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ",").alias("ids"))

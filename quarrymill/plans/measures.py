@@ -10,7 +10,7 @@ from quarrymill.functions import spans as sp
 from quarrymill.operators import filters as fl
 from quarrymill.operators import measures as op
 from quarrymill.operators.ordering import running
-from quarrymill.plans.arrays import EOS, ITEMS, items
+from quarrymill.plans.arrays import ITEMS, each_item, items
 from quarrymill.plans.filters import TAGGED, tagged
 from quarrymill.plans.ordering import UNIT
 from quarrymill.plans.registry import query
@@ -46,7 +46,7 @@ def agg2(m):
 
 @query("agg3_token_count", "input_ids", ITEMS + "SELECT count(*)::BIGINT AS items, sum(len(a))::BIGINT AS tokens FROM d")
 def agg3(i):
-    return items(i).agg(F.count("*").alias("items"), F.sum(F.size("a")).alias("tokens"))
+    return each_item(i, n=F.size("a")).agg(F.count("*").alias("items"), F.sum("n").alias("tokens"))
 
 
 @query("agg4_ngram_counts", "input_ids", ITEMS + "SELECT k, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, gram) AS r FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, gram, count(*)::BIGINT AS n FROM (SELECT unnest([array_to_string(a[j:j + {k - 1}], ' ') for j in range(1, len(a) - {k} + 2)]) AS gram FROM d) GROUP BY gram" for k in (1, 2, 4)) + ")) WHERE r <= 20")
@@ -60,7 +60,8 @@ def agg4(i):
 
 @query("agg5_mean_median", "civil_comments", "SELECT round(avg(toxicity), 6) AS mean, round(median(toxicity), 6) AS med, round(avg(exp(toxicity)), 6) AS ppl FROM civil_comments")
 def agg5(c):
-    return c.agg(F.round(F.avg("toxicity"), 6).alias("mean"), F.round(F.median("toxicity"), 6).alias("med"), F.round(F.avg(F.exp("toxicity")), 6).alias("ppl"))
+    one = c.agg(F.round(F.avg("toxicity"), 6).alias("mean"), F.round(F.avg(F.exp("toxicity")), 6).alias("ppl"))
+    return one.crossJoin(op.median(c, "toxicity").select(F.round("med", 6).alias("med")))  # one row each
 
 
 @query("agg6_log_mean_position", "embeddings", "SELECT pos::BIGINT AS pos, round(avg(ln(abs(x::DOUBLE) + 1)), 6) AS m FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos")
@@ -98,10 +99,10 @@ def agg9(i, m):
  SELECT w.id, count(DISTINCT w.b)::BIGINT AS hot FROM w JOIN s ON s.id = w.id AND s.s.score > 0.7 AND w.b < s.s.end AND least(w.b + 50, w.n) > s.s.start GROUP BY w.id""")
 def agg10(t):
     """Pieces of 50 characters that touch a toxic span."""
-    one = tagged(t).where(F.col("text").isNotNull() & (F.size("spans") > 0)).select("id", "text", "spans").distinct().where("text <> ''")
-    w = one.select("id", "spans", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(50))).alias("b"))
-    touch = F.exists("spans", lambda s: (s["score"] > 0.7) & (F.col("b") < s["end"]) & (F.least(F.col("b") + 50, F.col("n")) > s["start"]))
-    return w.where(touch).groupBy("id").agg(F.count_distinct("b").alias("hot"))
+    one = tagged(t).where(F.col("text").isNotNull() & (F.size("spans") > 0) & (F.length("text") > 0)).withColumn("hot", F.filter("spans", lambda s: s["score"] > 0.7))
+    touch = lambda b: F.exists("hot", lambda s: (b < s["end"]) & (F.least(b + 50, F.length("text")) > s["start"]))
+    pieces = F.filter(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(50)), touch)
+    return one.select("id", pieces.alias("b")).where(F.size("b") > 0).select("id", F.explode("b").alias("b")).groupBy("id").agg(F.count_distinct("b").alias("hot"))
 
 
 PRED = f"WITH c AS (SELECT DISTINCT comment_id, toxicity FROM civil_comments WHERE toxicity IS NOT NULL), p AS (SELECT comment_id, toxicity >= 0.5 AS y, floor((toxicity + {UNIT.format(k='comment_id')}) * 50) / 100 AS s FROM c) "
@@ -137,12 +138,6 @@ def agg14(c):
 KINDS = ("severe_toxicity", "obscene", "threat", "insult", "identity_attack", "sexual_explicit")
 
 
-@query("agg15_multi_label", "civil_comments", "SELECT label, round(2 * sum((y AND p)::INT) / nullif(sum(y::INT) + sum(p::INT), 0), 6) AS f1 FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS label, {k} >= 0.5 AS y, toxicity >= 0.6 AS p FROM civil_comments WHERE {k} IS NOT NULL AND toxicity IS NOT NULL" for k in KINDS) + ") GROUP BY label")
-def agg15(c):
-    long = c.select("toxicity", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("v")) for k in KINDS])).alias("k")).where("toxicity is not null and k.v is not null")
-    return long.groupBy("k.label").agg(F.round(op.binary(F.col("k.v") >= 0.5, F.col("toxicity") >= 0.6)["f1"], 6).alias("f1"))
-
-
 @query("agg16_rollup", "wildguard", "SELECT split, adversarial, count(*)::BIGINT AS n, round(avg((prompt_harm_label = 'harmful')::INT), 6) AS rate FROM wildguard GROUP BY ROLLUP (split, adversarial)")
 def agg16(w):
     return w.rollup("split", "adversarial").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prompt_harm_label") == "harmful").cast("int")), 6).alias("rate"))
@@ -179,12 +174,6 @@ def agg22(s, n, r):
     return j.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
 
 
-@query("agg23_domain_perplexity", "documents", "SELECT origin, round(sum(n_chars) / sum(length(text)), 6) AS ratio FROM documents WHERE n_chars IS NOT NULL AND text IS NOT NULL GROUP BY origin HAVING sum(length(text)) > 0")
-def agg23(d):
-    g = d.where("n_chars is not null and text is not null").groupBy("origin").agg(F.sum("n_chars").alias("a"), F.sum(F.length("text")).alias("b"))
-    return g.where("b > 0").select("origin", F.round(F.col("a") / F.col("b"), 6).alias("ratio"))
-
-
 @query("agg24_weighted_matthews", "civil_comments", PRED + ", q AS (SELECT sum((y AND s >= 0.5)::INT)::DOUBLE AS tp, sum((NOT y AND s >= 0.5)::INT)::DOUBLE AS fp, sum((y AND s < 0.5)::INT)::DOUBLE AS fn, sum((NOT y AND s < 0.5)::INT)::DOUBLE AS tn FROM p) SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM q")
 def agg24(c):
     return predictions(c).agg(F.round(op.matthews(F.col("y"), F.col("s") >= 0.5), 6).alias("mcc"))
@@ -195,16 +184,6 @@ def agg25(x):
     return x.groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") > 10).alias("ok")).agg(F.round(F.avg(F.col("ok").cast("int")), 6).alias("share"))
 
 
-@query("agg26_bootstrap", "civil_comments")
-def agg26(c):
-    """Bootstrap standard error of the mean with Poisson weights from hashes: one pass, no replicate is gathered."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", "k", "comment_id")), 1, 8), 16, 10).cast("bigint") / 4294967296
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    each = c.where("toxicity is not null").select("comment_id", "toxicity", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("k")).withColumn("w", weight)
-    means = each.groupBy("k").agg((F.sum(F.col("w") * F.col("toxicity")) / F.sum("w")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("standard_error"))
-
-
 @query("agg28_retrieval", "lineitem", "WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) SELECT round(avg((r = 1)::INT), 6) AS r1, round(avg((r <= 2)::INT), 6) AS r2, round(avg(1.0::DOUBLE / r), 6) AS mrr FROM r WHERE l_linenumber = 1")
 def agg28(x):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
@@ -225,7 +204,8 @@ def agg31(t):
 
 @query("agg32_deviation", "civil_comments", "SELECT round(stddev_pop(toxicity), 6) AS pop, round(stddev_samp(toxicity), 6) AS samp, round(median(toxicity), 6) AS med FROM civil_comments")
 def agg32(c):
-    return c.agg(F.round(F.stddev_pop("toxicity"), 6).alias("pop"), F.round(F.stddev_samp("toxicity"), 6).alias("samp"), F.round(F.median("toxicity"), 6).alias("med"))
+    one = c.agg(F.round(F.stddev_pop("toxicity"), 6).alias("pop"), F.round(F.stddev_samp("toxicity"), 6).alias("samp"))
+    return one.crossJoin(op.median(c, "toxicity").select(F.round("med", 6).alias("med")))  # one row each
 
 
 @query("agg35_tokens_per_character", "documents", "SELECT lang, round(sum(len(string_split(text, ' ')))::DOUBLE / sum(length(text)), 6) AS ratio FROM documents WHERE length(text) > 0 GROUP BY lang")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import arrays as ar
 from quarrymill.operators import ordering as op
-from quarrymill.plans.arrays import EOS, ITEMS, items
+from quarrymill.operators import tokens as tk
+from quarrymill.plans.arrays import EOS, ITEMS, each_item, items
 from quarrymill.plans.registry import query
+from quarrymill.sources import sinks
 
 POS = "WITH d AS (SELECT DISTINCT doc_id FROM documents), o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{s}:' || doc_id::VARCHAR)) - 1 AS pos, (SELECT count(*) FROM d) AS n FROM d) "
 POS7 = POS.format(s=7)
@@ -103,6 +105,14 @@ def l14(d):
     return some.select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))).alias("k"))
 
 
+@query("l15_epoch_orders", "documents", "WITH d AS (SELECT DISTINCT doc_id FROM documents), e AS (SELECT doc_id, unnest(range((2500 + (SELECT count(*) FROM d) - 1) // (SELECT count(*) FROM d))) AS epoch FROM d) SELECT epoch::BIGINT AS epoch, doc_id, row_number() OVER (PARTITION BY epoch ORDER BY md5(epoch::VARCHAR || ':' || doc_id::VARCHAR)) - 1 AS pos FROM e")
+def l15b(d):
+    """As many epochs as 2500 samples need, each in an order of its own."""
+    ids = d.select("doc_id").distinct()
+    epochs = ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))).select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.lit(2500) / F.col("n")) - 1)).alias("epoch"))
+    return op.numbered(epochs, F.md5(F.concat_ws(":", "epoch", "doc_id")), by_key=["epoch"]).select("epoch", "doc_id", "pos")
+
+
 @query("l15_epochs", "documents", POS7 + ", e AS (SELECT doc_id, n, unnest(range((2500 + n - 1) // n)) AS epoch FROM o) SELECT epoch, count(*)::BIGINT AS n FROM e GROUP BY epoch")
 def l15(d):
     return ordered(d).select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.lit(2500) / F.col("n")) - 1)).alias("epoch")).groupBy("epoch").agg(F.count("*").alias("n"))
@@ -123,6 +133,13 @@ def l18(e):
     return x.withColumn("r", F.row_number().over(w)).where("r <= 3").select("vec_id", (F.col("p") + 1).cast("bigint").alias("pos"))
 
 
+@query("l18_nucleus", "embeddings", "WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), p AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM x), c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY x DESC, pos ROWS UNBOUNDED PRECEDING) - p AS before FROM p) SELECT vec_id, count(*)::BIGINT AS kept, min(pos)::BIGINT AS first FROM c WHERE before <= 0.3 + 1e-9 GROUP BY vec_id")
+def l18b(e):
+    """The most likely positions until their probabilities pass 0.3, the one that passes it included."""
+    kept = op.nucleus(F.col("embedding").cast("array<double>"), 0.3)
+    return e.select("vec_id", kept.alias("k")).select("vec_id", F.size("k").cast("bigint").alias("kept"), (F.array_min("k") + 1).cast("bigint").alias("first"))
+
+
 @query("l19_limit_per_source", "unseen_data", "WITH u AS (SELECT DISTINCT id, source FROM unseen_data) SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('5:' || id)) AS r FROM u) WHERE r <= 10")
 def l19(u):
     return op.balanced(u.select("id", "source").distinct(), "source", "id", 10, 5).select("id", "source")
@@ -144,28 +161,22 @@ LEN = ITEMS + ", l AS (SELECT item_id, len(a) + 1 AS n, sum(len(a) + 1) OVER (OR
 
 
 def offsets(i):
-    """Items with their number of tokens, an end token included, and the tokens before them."""
-    return op.running(items(i).withColumn("n", F.size("a") + 1), F.col("n"), ["item_id"], F.floor(F.col("item_id") / 256), "g")
+    """Items with their number of tokens, an end token included, and the tokens before them; the tokens themselves stay behind."""
+    return op.running(each_item(i, n=F.size("a") + 1), F.col("n"), ["item_id"], F.floor(F.col("item_id") / 256), "g")
 
 
 @query("s1_pack", "input_ids", ITEMS + f""", t AS (SELECT item_id, unnest(a || [{EOS}]) AS x, unnest(range(len(a) + 1)) AS p FROM d), g AS (SELECT x, row_number() OVER (ORDER BY item_id, p) - 1 AS g, count(*) OVER () AS n FROM t)
  SELECT (g // 2048)::BIGINT AS seq, count(*)::BIGINT AS n, sum(x)::BIGINT AS total, md5(string_agg(x::VARCHAR, ',' ORDER BY g)) AS ids FROM g WHERE g // 2048 < n // 2048 GROUP BY g // 2048""")
 def s1(i):
     """Concatenate, an end token after each item, and cut into sequences of 2048; the last partial one is dropped."""
-    o = offsets(i)
-    n = o.agg(F.sum("n").alias("all"))
-    first, last = F.floor(F.col("g") / 2048), F.floor((F.col("g") + F.col("n") - 1) / 2048)
-    parts = o.select("g", F.concat("a", F.array(F.lit(EOS))).alias("a"), F.explode(F.sequence(first, last)).alias("seq"))
-    lo, hi = F.greatest(F.col("seq") * 2048 - F.col("g"), F.lit(0)), F.least((F.col("seq") + 1) * 2048 - F.col("g"), F.size("a"))
-    cut = parts.select("seq", "g", F.slice("a", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("x")).crossJoin(F.broadcast(n)).where("seq < floor(all / 2048)")
-    rows = cut.groupBy("seq").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("g", "x"))), lambda s: s["x"])).alias("x"))
-    return rows.select("seq", F.size("x").cast("bigint").alias("n"), F.aggregate("x", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"), F.md5(F.array_join(F.col("x").cast("array<string>"), ",")).alias("ids"))
+    rows = tk.pack(items(i), "item_id", {"a": EOS}, 2048)
+    return rows.select("seq", F.size("a").cast("bigint").alias("n"), F.aggregate("a", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"), F.md5(F.array_join(F.col("a").cast("array<string>"), ",")).alias("ids"))
 
 
 @query("s2_pack_shards", "input_ids", ITEMS + "SELECT item_id % 4 AS shard, sum(len(a) + 1)::BIGINT // 2048 AS sequences, sum(len(a) + 1)::BIGINT % 2048 AS dropped FROM d GROUP BY item_id % 4")
 def s2(i):
-    n = F.sum(F.size("a") + 1)
-    return items(i).groupBy((F.col("item_id") % 4).alias("shard")).agg(F.floor(n / 2048).alias("sequences"), (n % 2048).alias("dropped"))
+    n = F.sum("n")
+    return each_item(i, n=F.size("a") + 1).groupBy((F.col("item_id") % 4).alias("shard")).agg(F.floor(n / 2048).alias("sequences"), (n % 2048).alias("dropped"))
 
 
 @query("s3_sample_index", "input_ids", LEN + ", k AS (SELECT unnest(range(0, (SELECT sum(n) - 1 FROM l)::BIGINT // 2048)) AS k) SELECT k.k AS sample, l.item_id, (k.k * 2048 - l.g)::BIGINT AS pos FROM k JOIN l ON k.k * 2048 >= l.g AND k.k * 2048 < l.g + l.n")
@@ -185,7 +196,7 @@ def w6(i):
 
 @query("w7_chunk_offsets", "input_ids", ITEMS + "SELECT item_id, (sum(len(a) // 16) OVER (ORDER BY item_id) - len(a) // 16)::BIGINT AS chunk FROM d")
 def w7(i):
-    return op.running(items(i).withColumn("c", F.floor(F.size("a") / 16)), F.col("c"), ["item_id"], F.floor(F.col("item_id") / 256), "chunk").select("item_id", "chunk")
+    return op.running(each_item(i, c=F.floor(F.size("a") / 16)), F.col("c"), ["item_id"], F.floor(F.col("item_id") / 256), "chunk").select("item_id", "chunk")
 
 
 @query("w4_token_budget", "input_ids", LEN + "SELECT item_id FROM l WHERE g + n <= 50000")
@@ -195,7 +206,7 @@ def w4(i):
 
 @query("f23_sequence_budget", "label_mask", "WITH d AS (SELECT item_id, max(label_mask) AS m FROM label_mask WHERE label_mask IS NOT NULL GROUP BY item_id), e AS (SELECT item_id, len([x for x in m if x = 3]) AS n FROM d) SELECT item_id FROM (SELECT item_id, sum(n) OVER (ORDER BY item_id) AS s FROM e) WHERE s <= 3000")
 def f23(m):
-    one = m.where("label_mask is not null").groupBy("item_id").agg(F.max("label_mask").alias("m")).withColumn("n", ar.count_of(F.col("m"), 3))
+    one = m.where("label_mask is not null").groupBy("item_id").agg(F.max(ar.count_of(F.col("label_mask"), 3)).alias("n"))
     return op.running(one, F.col("n"), ["item_id"], F.floor(F.col("item_id") / 256), "before").where("before + n <= 3000").select("item_id")
 
 
@@ -218,9 +229,8 @@ def w8(i):
 
 @query("w9_first_run", "label_mask", "WITH d AS (SELECT item_id, max(label_mask) AS m FROM label_mask WHERE len(label_mask) > 0 GROUP BY item_id) SELECT item_id, (coalesce(list_min([k for k in range(1, len(m) + 1) if m[k] <> 1]), len(m) + 1) - 1)::BIGINT AS run FROM d")
 def w9(m):
-    one = m.where(F.size("label_mask") > 0).groupBy("item_id").agg(F.max("label_mask").alias("m"))
-    stop = F.array_min(F.filter(F.transform("m", lambda x, k: F.when(x != 1, k)), lambda k: k.isNotNull()))
-    return one.select("item_id", F.coalesce(stop, F.size("m")).cast("bigint").alias("run"))
+    stop = F.array_min(F.filter(F.transform("label_mask", lambda x, k: F.when(x != 1, k)), lambda k: k.isNotNull()))
+    return m.where(F.size("label_mask") > 0).groupBy("item_id").agg(F.max(F.coalesce(stop, F.size("label_mask"))).cast("bigint").alias("run"))
 
 
 @query("u1_concat", "toxic_reddit non_toxic_reddit", "SELECT source, count(*)::BIGINT AS n FROM (SELECT source FROM toxic_reddit UNION ALL SELECT source FROM non_toxic_reddit) GROUP BY source")
@@ -235,7 +245,7 @@ def u2(t):
 
 @query("u3_distinct_in_order", "input_ids", ITEMS + "SELECT item_id, len(list_distinct(a))::BIGINT AS n FROM d")
 def u3(i):
-    return items(i).select("item_id", F.size(F.array_distinct("a")).cast("bigint").alias("n"))
+    return each_item(i, n=F.size(F.array_distinct("a")).cast("bigint"))
 
 
 @query("u4_collapse_restore", "toxic_reddit", "SELECT t.id, r.first_id FROM (SELECT DISTINCT id, md5(text) AS m FROM toxic_reddit WHERE text IS NOT NULL) t JOIN (SELECT md5(text) AS m, min(id) AS first_id FROM toxic_reddit WHERE text IS NOT NULL GROUP BY md5(text)) r USING (m)")
@@ -265,9 +275,11 @@ def snk11(d):
     return ordered(d).select("doc_id", F.floor(F.col("pos") / 120).alias("shard"))
 
 
-@query("snk12_dead_letters", "events", "SELECT CASE WHEN try_cast(props::JSON->>'$.page' AS INT) IS NULL THEN 'bad' ELSE 'good' END AS kind, count(*)::BIGINT AS n FROM events GROUP BY 1")
+@query("snk12_dead_letters", "events", "SELECT event_id AS index, 'CAST_INVALID_INPUT' AS error, coalesce(props::JSON->>'$.page', 'null') AS message FROM events WHERE try_cast(props::JSON->>'$.page' AS INT) IS NULL")
 def snk12(e):
-    return e.select(F.when(F.get_json_object("props", "$.page").try_cast("int").isNull(), "bad").otherwise("good").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """The rows whose page is no number, as index, error and message."""
+    page = F.get_json_object("props", "$.page")
+    return sinks.dead_letters(e, page.try_cast("int").isNotNull(), F.col("event_id"), "CAST_INVALID_INPUT", F.coalesce(page, F.lit("null")))
 
 
 @query("snk13_metric_table", "civil_comments", "SELECT '| toxicity | ' || printf('%.4f', avg(toxicity)) || ' |' AS line FROM civil_comments")
@@ -275,9 +287,12 @@ def snk13(c):
     return c.agg(F.format_string("| toxicity | %.4f |", F.avg("toxicity")).alias("line"))
 
 
-@query("src16_rank_index", "documents", "SELECT doc_id, word FROM (SELECT doc_id, string_split(lang || chr(9) || coalesce(source, ''), chr(9)) AS w FROM documents WHERE lang IS NOT NULL) CROSS JOIN unnest(w) AS u(word)")
+@query("src16_rank_index", "documents", POS7 + ", r AS (SELECT pos // 64 AS step, string_agg(doc_id::VARCHAR, chr(9) ORDER BY pos) AS ids FROM o GROUP BY 1), l AS (SELECT step::VARCHAR || chr(9) || ids AS line FROM r), s AS (SELECT split_part(line, chr(9), 1)::BIGINT AS step, string_split(line, chr(9)) AS f FROM l), e AS (SELECT step, unnest(range(1, len(f))) AS k, f FROM s) SELECT step, k::BIGINT AS place, doc_id, length(text)::BIGINT AS n FROM e JOIN documents ON doc_id = f[k + 1]::BIGINT")
 def src16(d):
-    return d.where("lang is not null").select("doc_id", F.explode(F.split(F.concat("lang", F.lit("\t"), F.coalesce("source", F.lit(""))), "\t")).alias("word"))
+    """Index lines of a step and the ids of its batch, read back and joined with the documents they name."""
+    o = ordered(d).groupBy(F.floor(F.col("pos") / 64).alias("step")).agg(F.sort_array(F.collect_list(F.struct("pos", "doc_id"))).alias("b"))  # 64 rows each
+    lines = o.select(F.concat_ws("\t", "step", F.transform("b", lambda x: x["doc_id"].cast("string"))).alias("line"))
+    return op.indexed(lines, "line", d.select("doc_id", F.length("text").cast("bigint").alias("n")), "doc_id")
 
 
 @query("src10_order_batch", "documents", POS7 + "SELECT pos, o.doc_id, length(t.text)::BIGINT AS n FROM o JOIN documents t ON o.doc_id = t.doc_id WHERE pos >= 64 AND pos < 128")

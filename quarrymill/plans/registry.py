@@ -25,7 +25,7 @@ def query(name: str, tables: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quarrymill.plans import arrays, filters, measures, ordering, relations, scoring, udfs  # noqa: F401
+    from quarrymill.plans import arrays, filters, measures, ordering, relations, scores, scoring, tokens, udfs  # noqa: F401
 
     return dict(_queries)
 

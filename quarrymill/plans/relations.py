@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import arrays as ar
+from quarrymill.operators import filters as fl
+from quarrymill.operators.ordering import assign_ranges, numbered, running
+from quarrymill.plans.arrays import ITEMS, each_item
 from quarrymill.plans.ordering import ordered
 from quarrymill.plans.registry import query
 
@@ -117,15 +120,20 @@ def j10(w):
     return w.where("item_id > 5").select("item_id").distinct().crossJoin(F.broadcast(shots)).select("item_id", F.concat("shots", F.lit(" -> "), F.col("item_id").cast("string")).alias("line"))
 
 
-@query("j11_range_assignment", "documents events", "WITH c AS (SELECT unnest(range(0, 10)) AS chunk) SELECT chunk, count(*)::BIGINT AS n FROM events JOIN c ON event_id >= chunk * 1000 AND event_id < (chunk + 1) * 1000 GROUP BY chunk")
-def j11(_, e):
-    """Fixed-width ranges are a division, not a range join."""
-    return e.withColumn("chunk", F.floor(F.col("event_id") / 1000)).where("chunk between 0 and 9").groupBy("chunk").agg(F.count("*").alias("n"))
+J11 = ITEMS + ", r AS (SELECT item_id, sum(len(a) // 16) OVER (ORDER BY item_id) AS hi, len(a) // 16 AS n FROM d) SELECT event_id, item_id, (event_id - (hi - n))::BIGINT AS chunk FROM events JOIN r ON event_id >= hi - n AND event_id < hi"
+
+
+@query("j11_range_assignment", "input_ids events", J11)
+def j11(i, e):
+    """Every global index that lies in the items' chunks of 16 tokens, with its item and the chunk within it."""
+    starts = running(each_item(i, n=F.floor(F.size("a") / 16)), F.col("n"), ["item_id"], F.floor(F.col("item_id") / 256), "lo")
+    found = assign_ranges(e.select("event_id"), "event_id", starts.withColumn("hi", F.col("lo") + F.col("n")), "lo", "hi", 64)
+    return found.select("event_id", "item_id", (F.col("event_id") - F.col("lo")).alias("chunk"))
 
 
 @query("j11_every_index", "events", "WITH c AS (SELECT unnest(range(floor(lo / 1000)::BIGINT, floor(hi / 1000)::BIGINT + 1)) AS chunk FROM (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)) SELECT chunk, count(*)::BIGINT AS n FROM events JOIN c ON event_id >= chunk * 1000 AND event_id < (chunk + 1) * 1000 GROUP BY chunk")
 def j11_every(e):
-    """j11_range_assignment over as many ranges as the ids take, so that every index gets its chunk."""
+    """Ranges of fixed width are a division: every index gets its range."""
     return e.where("event_id is not null").withColumn("chunk", F.floor(F.col("event_id") / 1000)).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
@@ -138,12 +146,33 @@ def b7(w):
     return one.select(F.col("item_id").alias("query_id")).crossJoin(F.broadcast(pool)).select("query_id", F.explode(F.transform(F.slice(ranked, 1, 3), lambda s: s["p"])).alias("item_id"))
 
 
-@query("f7_conversation_selection", "paradetox", "SELECT DISTINCT pair_id FROM paradetox WHERE length(en_toxic_comment) >= 120 AND length(en_neutral_comment) <= 100")
-def f7(p):
-    return p.where((F.length("en_toxic_comment") >= 120) & (F.length("en_neutral_comment") <= 100)).select("pair_id").distinct()
+PAIRS = "WITH t AS (SELECT DISTINCT id, toxic_score AS x, english_score AS e, row_number() OVER (PARTITION BY id ORDER BY retrieved_at DESC, toxic_score DESC, english_score DESC) AS r FROM toxic_reddit WHERE id IS NOT NULL AND toxic_score IS NOT NULL AND english_score IS NOT NULL), o AS (SELECT id, x, e, row_number() OVER (ORDER BY md5('7:' || id)) - 1 AS pos FROM t WHERE r = 1), p AS (SELECT a.id AS parent, b.id AS child, a.x AS px, b.x AS cx, a.e AS pe, b.e AS ce FROM o a JOIN o b ON b.pos = a.pos + 1 WHERE a.pos % 2 = 0) "
+
+
+@query("f7_conversation_selection", "toxic_reddit", PAIRS + "SELECT parent, child FROM p WHERE pe >= 0.5 AND ce >= 0.5 AND (px >= 0.7 OR (1 - pe) >= 0.7) AND cx <= 0.3 AND (1 - ce) <= 0.3")
+def f7(t):
+    """English conversations of a harmful parent and a harmless reply. Records are paired by position in a shuffle, as the
+    table has no parents; 1 - english_score stands for the second tagger's score."""
+    scored = t.where("id is not null and toxic_score is not null and english_score is not null")
+    last = scored.groupBy("id").agg(F.max(F.struct("retrieved_at", F.col("toxic_score").alias("x"), F.col("english_score").alias("e"))).alias("s")).select("id", "s.x", "s.e")
+    o = numbered(last, F.md5(F.concat(F.lit("7:"), "id"))).withColumn("pair", F.floor(F.col("pos") / 2))
+    side = lambda k, a, b: o.where(F.col("pos") % 2 == k).select("pair", F.col("id").alias(a), F.col("x").alias(b + "_toxic"), (1 - F.col("e")).alias(b + "_nsfw"), F.col("e").alias(b + "_english"))
+    return fl.conversations(side(0, "parent", "parent").join(side(1, "child", "child"), "pair"), 0.5, 0.7, 0.3).select("parent", "child")
+
+
+@query("pr29_parallel_merge", "paradetox", "WITH a AS (SELECT pair_id, max(en_toxic_comment) AS x FROM paradetox WHERE en_toxic_comment IS NOT NULL GROUP BY pair_id), b AS (SELECT pair_id, max(en_neutral_comment) AS y FROM paradetox WHERE en_neutral_comment IS NOT NULL GROUP BY pair_id) SELECT pair_id, CASE WHEN pair_id % 2 = 0 THEN 'en: ' || x || chr(10) || 'de: ' || y ELSE 'de: ' || y || chr(10) || 'en: ' || x END AS row_text FROM a JOIN b USING (pair_id)")
+def pr29(p):
+    """Two parallel corpora joined line by line, and a template that says which side is the source."""
+    a = p.where("en_toxic_comment is not null").groupBy("pair_id").agg(F.max("en_toxic_comment").alias("en"))
+    b = p.where("en_neutral_comment is not null").groupBy("pair_id").agg(F.max("en_neutral_comment").alias("de"))
+    line = lambda k: F.concat(F.lit(k + ": "), F.col(k))
+    text = F.when(F.col("pair_id") % 2 == 0, F.concat_ws("\n", line("en"), line("de"))).otherwise(F.concat_ws("\n", line("de"), line("en")))
+    return a.join(b, "pair_id").select("pair_id", text.alias("row_text"))
 
 
-@query("p29_parallel_merge", "paradetox", "SELECT DISTINCT pair_id, CASE WHEN pair_id % 2 = 0 THEN en_toxic_comment || ' => ' || en_neutral_comment ELSE en_neutral_comment || ' => ' || en_toxic_comment END AS row_text FROM paradetox")
-def p29(p):
-    a, b = F.col("en_toxic_comment"), F.col("en_neutral_comment")
-    return p.select("pair_id", F.when(F.col("pair_id") % 2 == 0, F.concat(a, F.lit(" => "), b)).otherwise(F.concat(b, F.lit(" => "), a)).alias("row_text")).distinct()
+@query("f15_entities", "wildguard documents", "WITH n AS (SELECT DISTINCT split_part(prompt, ' ', 1) || ' ' || split_part(prompt, ' ', 2) AS full_name FROM wildguard WHERE prompt IS NOT NULL), f AS (SELECT DISTINCT unnest([full_name, split_part(full_name, ' ', 1), split_part(full_name, ' ', 2)]) AS name FROM n), w AS (SELECT DISTINCT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents WHERE text IS NOT NULL) SELECT DISTINCT doc_id FROM w WHERE w IN (SELECT name FROM f WHERE length(name) > 3)")
+def f15(w, d):
+    """Documents with a first or last word of any listed two-word name (the whole name implies both)."""
+    name = F.slice(F.split("prompt", " "), 1, 2)
+    names = w.where("prompt is not null").select(F.explode(name).alias("name")).distinct().where(F.length("name") > 3)
+    return fl.mentions_any(d.where("text is not null"), "doc_id", "text", names, "name")

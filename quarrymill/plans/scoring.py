@@ -43,11 +43,6 @@ def t3(x):
     return choices(x).agg(F.round(F.avg((F.col("n") > 25).cast("int")), 6).alias("greedy"), F.round(F.exp(-F.avg("ll")), 4).alias("ppl"))
 
 
-@query("t4_any_reference", "paradetox", "SELECT pair_id, bool_or(length(en_neutral_comment) < 80) AS hit FROM paradetox WHERE en_neutral_comment IS NOT NULL GROUP BY pair_id")
-def t4(p):
-    return p.where("en_neutral_comment is not null").groupBy("pair_id").agg(F.bool_or(F.length("en_neutral_comment") < 80).alias("hit"))
-
-
 @query("t7_macro_f1", "lineitem", "WITH k AS (SELECT unnest(['A', 'N', 'R']) AS k), x AS (SELECT l_returnflag AS y, CASE WHEN l_quantity < 15 THEN 'A' WHEN l_quantity < 35 THEN 'N' ELSE 'R' END AS p FROM lineitem) SELECT round(avg(f), 6) AS macro_f1 FROM (SELECT k, 2.0::DOUBLE * sum((y = k AND p = k)::INT) / (sum((y = k)::INT) + sum((p = k)::INT)) AS f FROM x, k GROUP BY k)")
 def t7(x):
     p = F.when(F.col("l_quantity") < 15, "A").when(F.col("l_quantity") < 35, "N").otherwise("R")
@@ -62,11 +57,6 @@ def t8(x):
     return per.groupBy("l_suppkey").agg(F.round(F.avg(F.col("ok").cast("int")), 6).alias("share"))
 
 
-@query("t9_best_candidate", "lineitem", CH + "SELECT doc, round(max(ll), 6) AS top FROM c WHERE n >= 10 GROUP BY doc")
-def t9(x):
-    return choices(x).where("n >= 10").groupBy("doc").agg(F.round(F.max("ll"), 6).alias("top"))
-
-
 @query("t10_grouped_match", "lineitem", "SELECT round(avg(ok::INT), 6) AS em FROM (SELECT l_orderkey // 4 AS g, bool_and(l_discount < 0.09) AS ok FROM lineitem GROUP BY 1)")
 def t10(x):
     per = x.groupBy(F.floor(F.col("l_orderkey") / 4).alias("g")).agg(F.bool_and(F.col("l_discount") < 0.09).alias("ok"))
@@ -79,24 +69,12 @@ def t11(x):
     return x.groupBy("l_orderkey").agg(F.count_if(g & p).alias("tp"), F.count_if(g).alias("gold"), F.count_if(p).alias("pred"))
 
 
-@query("t16_rolling_likelihood", "documents", "SELECT lang, round(sum(length(text))::DOUBLE / sum(len(string_split(text, ' '))), 6) AS per_word, round(sum(octet_length(encode(text)))::DOUBLE / sum(length(text)) / ln(2), 6) AS bits FROM documents WHERE length(text) > 0 GROUP BY lang")
-def t16(d):
-    t = F.col("text")
-    return d.where(F.length(t) > 0).groupBy("lang").agg(F.round(F.sum(F.length(t)).cast("double") / F.sum(F.size(F.split(t, " "))), 6).alias("per_word"), F.round(F.sum(F.octet_length(t)).cast("double") / F.sum(F.length(t)) / F.ln(F.lit(2)), 6).alias("bits"))
-
-
 @query("b3_windowed_perplexity", "events", "SELECT event_id, round(exp(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / 100), 6) AS ppl FROM events WHERE value IS NOT NULL")
 def b3(e):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return e.where("value is not null").select("event_id", F.round(F.exp(F.avg("value").over(w) / 100), 6).alias("ppl"))
 
 
-@query("b4_judge_rates", "civil_comments", "SELECT round(avg((lower(text) LIKE 'if%')::INT), 6) AS starts, round(avg((contains(lower(text), 'you') OR contains(lower(text), 'i '))::INT), 6) AS mentions FROM civil_comments WHERE text IS NOT NULL")
-def b4(c):
-    low = F.lower("text")
-    return c.where("text is not null").agg(F.round(F.avg(F.startswith(low, F.lit("if")).cast("int")), 6).alias("starts"), F.round(F.avg((F.contains(low, F.lit("you")) | F.contains(low, F.lit("i "))).cast("int")), 6).alias("mentions"))
-
-
 @query("b8_instances", "wildguard", "SELECT item_id, CASE prompt_harm_label WHEN 'harmful' THEN 1 WHEN 'unharmful' THEN 0 END AS answer, split || '/' || item_id::VARCHAR AS key FROM wildguard")
 def b8(w):
     answers = F.create_map(F.lit("harmful"), F.lit(1), F.lit("unharmful"), F.lit(0))

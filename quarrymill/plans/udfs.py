@@ -5,24 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.operators import sequential as op
-from quarrymill.plans.arrays import items
+from quarrymill.plans.arrays import each_item
 from quarrymill.plans.registry import query
 from quarrymill.plans.relations import grams, placed_grams
 
 
 @query("f19_periodic", "input_ids")
 def f19(i):
-    return items(i).select("item_id", op.periodic(F.col("a"), times=4).alias("periodic"))
-
-
-@query("l16_blending", "toxic_reddit")
-def l16(t):
-    return op.blended_counts(t, "source", 10_000)
-
-
-@query("agg30_bleu", "paradetox")
-def agg30(p):
-    return op.corpus_bleu(p, "en_neutral_comment", "en_toxic_comment")
+    return each_item(i, periodic=op.periodic(F.col("a"), times=4))
 
 
 @query("x9_linear_probe", "embeddings")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import arrays, spans, text
 from quarrymill.operators import measures, ordering, sequential
-from quarrymill.sources import readers
+from quarrymill.sources import readers, sinks
 from quarrymill.streaming import running
 
 
@@ -75,6 +75,105 @@ def test_repeats():
 def test_blending_stays_within_one_of_the_weights():
     got = sequential.blending([0.5, 0.3, 0.2], 1000)
     assert all(abs(got.count(k) - 1000 * w) <= 1 for k, w in enumerate([0.5, 0.3, 0.2]))
+    assert got[:4] == [0, 1, 2, 0]  # the shares of the first two samples are those of one
+
+
+def test_alignment_is_optimal():
+    from itertools import permutations
+
+    r = np.random.default_rng(3)
+    for n, m in ((1, 1), (2, 4), (4, 2), (5, 5), (6, 4)):
+        t = r.random((n, m)).round(2)
+        a = t if n <= m else t.T
+        best = max(sum(a[i, p[i]] for i in range(len(a))) for p in permutations(range(a.shape[1]), len(a)))
+        assert sequential.best_alignment(t) == pytest.approx(best)
+    assert sequential.best_alignment(r.random((60, 60))) > 40  # a long answer ends at once
+
+
+def test_text_distances(spark):
+    df = spark.createDataFrame([("the lamp is in the yard", "the lamp is in the yard"), (None, "x")], "a string, b string")
+    assert tuple(sequential.text_distances(df, "a", "b").first()) == (pytest.approx(100), 0.0, pytest.approx(1))
+    assert sequential.edit_rate_parts("c d a b".split(), "a b c d".split()) == 1
+    x, y = "a b c d e f".split(), "b c x d f g".split()
+    assert sequential._plain_edits(x, y) == 4
+
+
+def test_median_and_scores_in_two_levels(spark):
+    import statistics
+
+    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0], [k * 0.37 % 1 for k in range(501)], [2.0] * 7):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        assert measures.median(df, "v").first().med == pytest.approx(statistics.median(values))
+    assert measures.median(spark.createDataFrame([], "v double"), "v").first().med is None
+
+
+def test_token_rows(spark):
+    from quarrymill.operators import tokens as tk
+
+    df = spark.createDataFrame([([1, 2, 3, 4, 5], [7, 8, 9])], "a array<int>, b array<int>")
+    x, y = tk.fair_trim(F.col("a"), F.col("b"), 4)
+    assert tuple(df.select(x, y).first()) == ([1, 2], [7, 8])
+    x, y = tk.fair_trim(F.col("a"), F.array(F.lit(7)), 4)
+    assert tuple(df.select(x, y).first()) == ([1, 2, 3], [7])
+    assert df.select(tk.pattern_mask(F.col("a"), [[2, 3], [5, 6]])).first()[0] == [1, 0, 0, 1, 1]
+    assert df.select(tk.truncate(F.col("a"), 3, 0, left=True), tk.truncate(F.col("a"), 3, 5)).first() == ([4, 5, 0], [1, 2, 5])
+    w = df.select(tk.rolling_windows(F.col("a"), 3, 2, 0)).first()[0]
+    assert [(r.start, r.inputs, r.targets) for r in w] == [(0, [0, 1, 2], [1, 2, 3]), (3, [2, 3, 4], [4, 5])]
+    rows = spark.createDataFrame([(1, [1]), (2, [2, 3, 4]), (9, [5])], "k int, a array<int>").withColumn("m", tk.ones(F.col("a")))
+    got = {r.k: (r.a, r.m) for r in tk.collate(rows, F.floor(F.col("k") / 8), {"a": 0, "m": 0}).collect()}
+    assert got == {1: ([1, 0, 0], [1, 0, 0]), 2: ([2, 3, 4], [1, 1, 1]), 9: ([5], [1])}
+
+
+def test_packing_equals_concatenation(spark):
+    from quarrymill.operators import tokens as tk
+
+    lists = [[k * 100 + j for j in range(n)] for k, n in enumerate([3, 1, 7, 12, 2, 5])]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, a array<int>")
+    flat = [x for a in lists for x in [*a, -1]]
+    for overlap in (0, 1):
+        got = {r.seq: r.a for r in tk.pack(df, "k", {"a": -1}, 4, overlap=overlap).collect()}
+        assert got == {s: flat[s * 4 : s * 4 + 4 + overlap] for s in range(len(flat)) if s * 4 + 4 + overlap <= len(flat)}
+    assert tk.pack(df.limit(0), "k", {"a": -1}, 4).count() == 0
+
+
+def test_parts_and_ranges(spark):
+    assert ordering.proportions("8,1,1", 100) == [0, 80, 90, 100] and ordering.proportions("1/0/0", 7) == [0, 7, 7, 7]
+    df = spark.range(10).withColumnRenamed("id", "pos")
+    assert {r.part: r["count"] for r in ordering.named_parts(df, "pos", {"a": 3, "b": -1}, 10).groupBy("part").count().collect()} == {"a": 3, "b": 7}
+    with pytest.raises(ValueError):
+        ordering.named_parts(df, "pos", {"a": 11}, 10)
+    r = spark.createDataFrame([(0, 3, "x"), (3, 3, "none"), (3, 900, "y")], "lo long, hi long, f string")
+    got = ordering.assign_ranges(spark.createDataFrame([(k,) for k in (0, 2, 3, 899, 900)], "p long"), "p", r, "lo", "hi", 64)
+    assert sorted((x.p, x.f) for x in got.collect()) == [(0, "x"), (2, "x"), (3, "y"), (899, "y")]
+
+
+def test_tasks_accumulators_and_shards(spark):
+    from quarrymill.operators import scoring
+
+    df = spark.createDataFrame([("a", 1, 1), ("a", 0, 1), ("b", 1, 1)], "g string, y int, p int")
+    t = scoring.register("unit", scoring.Task({"ok": (F.col("y") == F.col("p")).cast("int")}, {"acc": F.avg("ok")}, ["g"]))
+    assert {r.g: r.acc for r in t.score(df).collect()} == {"a": 0.5, "b": 1.0}
+    with pytest.raises(ValueError):
+        scoring.register("unit", t)
+    acc = scoring.Accumulator({"right": (F.col("y") == F.col("p")).cast("int"), "n": F.lit(1)}, lambda right, n: right / n)
+    acc.update(df)
+    acc.update(df.limit(0))
+    assert acc.compute() == pytest.approx(2 / 3)
+    got = sequential.map_shards(df, 3, F.col("g"), lambda part: part.groupby("g", as_index=False).agg(n=("y", "size"))[["g", "n"]], "g string, n long").collect()
+    assert sorted(map(tuple, got)) == [("a", 2), ("b", 1)]
+
+
+def test_answers(spark):
+    from quarrymill.operators import scoring, tokens as tk
+
+    df = spark.createDataFrame([("The cat, a cat!", "cat sat")], "x string, y string")
+    a, b = scoring.answer_words(F.col("x")), scoring.answer_words(F.col("y"))
+    assert df.select(a, scoring.bag_f1(a, b)).first() == (["cat", "cat"], 0.5)
+    assert df.select(scoring.rouge_l(F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, "xbd")))).first()[0] == pytest.approx(4 / 7)
+    refs = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "c"]), (2, ["z"])], "q int, w array<string>")
+    assert {r.q: r.f1 for r in scoring.leave_one_out(refs, "q", "w").collect()} == {1: 0.5, 2: 1.0}
+    m = spark.range(1).select(tk.math_answer(F.lit("\\left( \\tfrac12 \\right) \\text{ cm}")), tk.detokenized(F.lit("( a ) 1 @,@ 000 .")), tk.basename(F.lit("a/b.c.gz")), tk.clean_name(F.lit("x/a b.c"))).first()
+    assert tuple(m) == ("(\\frac{1}{2})", "(a) 1,000.", "b.c.gz", "a_b")
 
 
 def test_bleu(spark):
@@ -96,12 +195,64 @@ def test_bag_alignment(spark):
 def test_token_files(spark, tmp_path):
     for k in (0, 1):
         np.arange(16 * k, 16 * k + 16 + k, dtype=np.uint16).tofile(tmp_path / f"{k}.bin")
-    rows = readers.read_tokens(spark, [str(tmp_path / f"{k}.bin") for k in (0, 1)], 4, blocks=3).orderBy("file", "chunk_id").collect()
-    assert [r.input_ids for r in rows] == [list(range(4 * k, 4 * k + 4)) for k in range(8)]
+        (np.arange(16 * k, 16 * k + 16 + k) % 4).astype(np.uint8).tofile(tmp_path / f"{k}.mask")
+    files, masks = [str(tmp_path / f"{k}.bin") for k in (0, 1)], [str(tmp_path / f"{k}.mask") for k in (0, 1)]
+    rows = readers.read_tokens(spark, files, 4, blocks=3).orderBy("idx").collect()
+    assert [r.input_ids for r in rows] == [list(range(4 * k, 4 * k + 4)) for k in range(8)] and [r.idx for r in rows] == [*range(8)]
+    rows = readers.read_tokens(spark, files, 4, masks=masks, metadata=["a", "b"], keep=lambda x: x[0] != 4).orderBy("idx").collect()
+    assert [r.idx for r in rows] == [0, 2, 3, 4, 5, 6, 7] and rows[-1].metadata == "b" and all(r.label_mask == [0, 1, 2, 3] for r in rows)
+    np.zeros(3, np.uint8).tofile(tmp_path / "short.mask")
+    with pytest.raises(ValueError):
+        readers.read_tokens(spark, files, 4, masks=[masks[0], str(tmp_path / "short.mask")])
+
+
+def test_token_writers(spark, tmp_path):
+    df = spark.createDataFrame([(k, [k, k + 1], [1, 2]) for k in range(20)], "pos long, ids array<int>, m array<int>")
     out = tmp_path / "out"
-    readers.write_tokens(spark.createDataFrame([(k, [k, k + 1]) for k in range(20)], "pos long, ids array<int>"), str(out), "ids", "pos")
-    flat = np.concatenate([np.fromfile(f, dtype=np.uint16) for f in sorted(out.iterdir())])
-    assert flat.tolist() == [x for k in range(20) for x in (k, k + 1)]
+    made = sinks.write_tokens(df, str(out), "ids", "pos", mask="m")
+    flat = np.concatenate([np.fromfile(f + ".bin", dtype=np.uint16) for f, *_ in made])
+    assert flat.tolist() == [x for k in range(20) for x in (k, k + 1)] and sum(n for _, _, n in made) == 40
+    assert np.concatenate([np.fromfile(f + ".mask.bin", dtype=np.uint8) for f, *_ in made]).tolist() == [1, 2] * 20
+    rolled = sinks.write_tokens_rolling(df, str(tmp_path / "rolled"), "ids", "pos", 10)
+    assert [n for _, _, n in rolled] == [10] * 4 and np.concatenate([np.fromfile(f + ".bin", dtype=np.uint16) for f, *_ in rolled]).tolist() == flat.tolist()
+    with pytest.raises(Exception, match="outside"):
+        sinks.write_tokens(spark.createDataFrame([(0, [70000])], "pos long, ids array<int>"), str(tmp_path / "bad"), "ids", "pos")
+
+
+def test_line_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"t{k}", "ab"[k % 2]) for k in range(30)], "k int, text string, source string")
+    sinks.write_lines(df, str(tmp_path / "a"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_lines(df, str(tmp_path / "a"))
+    sinks.write_lines(df, str(tmp_path / "a"), replace=True)
+    assert spark.read.json(str(tmp_path / "a")).count() == 30
+    sinks.write_lines_in_order(df.orderBy(F.desc("k")), str(tmp_path / "b"), "k", "none")
+    import json
+
+    read = [json.loads(x)["k"] for f in sorted((tmp_path / "b").glob("part-*")) for x in f.read_text().splitlines()]
+    assert read == [*range(30)]
+    sinks.write_shards(df, str(tmp_path / "c"), 4)
+    assert len([*(tmp_path / "c").glob("*.parquet")]) == 4 and readers.read_any(spark, [str(tmp_path / "c"), str(tmp_path / "c")]).count() == 60
+    sinks.write_by_source(df, str(tmp_path / "d"), "source")
+    assert readers.read_folder_texts(spark, str(tmp_path / "d")).count() == 30
+    bad = sinks.dead_letters(df, F.col("k") < 28, F.col("k"), "TOO_LARGE", F.col("text")).collect()
+    assert sorted(tuple(r) for r in bad) == [(28, "TOO_LARGE", "t28"), (29, "TOO_LARGE", "t29")]
+    assert sinks.write_summary(df, str(tmp_path / "s"), rows=F.count("*")).first().rows == 30
+
+
+def test_sources(spark, tmp_path):
+    import gzip
+
+    with open(tmp_path / "x.jsonl.gz", "wb") as f:
+        f.write(gzip.compress(b'{"text": "a"}\n') + gzip.compress(b'{"text": "b"}\n'))
+    assert readers.read_compressed(spark, str(tmp_path / "x.jsonl.gz"), 3).count() == 2
+    (tmp_path / "n.csv").write_text("1,2.5\n2,3.5\n")
+    assert [r._c1 for r in readers.read_any(spark, str(tmp_path / "n.csv"), header=False).collect()] == [2.5, 3.5]
+    assert readers.numbered_paths("s3://x/part-{}.json.gz", 8, 10, 3) == ["s3://x/part-008.json.gz", "s3://x/part-009.json.gz", "s3://x/part-010.json.gz"]
+    made = readers.from_generator(spark, lambda part: ((part, k) for k in range(part)), "part int, k int", 4)
+    assert sorted(map(tuple, made.collect())) == [(p, k) for p in range(4) for k in range(p)]
+    df = spark.createDataFrame([(1, [*range(10)])], "idx int, t array<int>")
+    assert readers.slice_of(df, "idx", 1, "t", 3, 4).first().t == [3, 4, 5, 6]
 
 
 def test_read_any(spark, tmp_path):
@@ -146,7 +297,7 @@ def test_whole_prompts_are_tokenized(spark):
     from quarrymill.plans import arrays as plans
 
     prompt = "né😀" + "x" * 60
-    got = plans.a19_whole(spark.createDataFrame([(1, prompt), (2, None), (3, "")], "item_id int, prompt string")).collect()
+    got = plans.a19(spark.createDataFrame([(1, prompt), (2, None), (3, "")], "item_id int, prompt string")).collect()
     assert {r.item_id: r.ids for r in got} == {1: ",".join(str(ord(c)) for c in prompt), 3: ""}
 
 
