@@ -356,6 +356,14 @@ def made(r: random.Random, p: Prose) -> tuple[str, list[tuple[int, int, int]]]:
                 spans.append((len(out) - len(value), len(out), 4))
                 put(r.choice(AFTER[kind]))
                 continue
+            if kind == "name" and r.random() < 0.18:  # an apposition
+                put(r.choice(("my", "our", "the", "The", "her", "his", "a")) + f" {p.word()},")
+                value, skip = name(r)
+                put(value)
+                spans.append((len(out) - len(value) + skip, len(out), 4))
+                out += r.choice([",", ",", ",", ".", " and"])
+                put(r.choice((r.choice(AFTER[kind]), p.word())))
+                continue
             cue = r.choice(FUNCTION) if kind != "id_number" and r.random() < 0.25 else r.choice(BEFORE[kind])
             put(cue.capitalize() if r.random() < 0.35 else cue.upper() if r.random() < 0.06 else cue)
             if r.random() < 0.1:

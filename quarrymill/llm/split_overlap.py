@@ -170,6 +170,7 @@ def overlapping_records(evaluation: DataFrame, training: DataFrame, how: Cutting
     firsts = members.groupBy("side", "digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # most records have no copies; those that stand for others, or are stood for, are few beside them
     copies = members.join(firsts.where("copies > 1").select("side", "digest", F.col("id").alias("cls")), ["side", "digest"]).where("id != cls").select("side", "id", "cls")
+    copies = cut(copies, "copies")
     classes = records.join(copies, ["side", "id"], "left_anti").dropDuplicates(["side", "id"]).select("side", F.col("id").alias("cls"), "n", "chunks", "sizes")
     classes = cut(classes, "classes")
     e, t = classes.where("side = 'e'"), classes.where("side = 't'")
@@ -182,7 +183,7 @@ def overlapping_records(evaluation: DataFrame, training: DataFrame, how: Cutting
     full = pairs.join(e.select(F.col("cls").alias("e"), "n", F.col("chunks").alias("ce"), F.col("sizes").alias("se")), "e").join(t.select(F.col("cls").alias("t"), F.col("chunks").alias("ct")), "t")
     near = cut(full.mapInArrow(lambda it: _shares(it, how), "e string, t string, share double"), "near")
     texts = {s: sides.where(F.col("side") == s).select(F.col("id").alias(s), F.col("text").alias(f"t{s}")).join(near.select(s).distinct(), s, "left_semi").distinct() for s in "et"}
-    exact = near.join(texts["e"], "e").join(texts["t"], "t").select("e", "t", "share", "te", "tt").mapInArrow(lambda it: _verify(it, same), "e string, t string, share double").distinct()
+    exact = cut(near.join(texts["e"], "e").join(texts["t"], "t").select("e", "t", "share", "te", "tt").mapInArrow(lambda it: _verify(it, same), "e string, t string, share double").distinct(), "exact")
     me, mt = [copies.where(F.col("side") == s).select(F.col("cls").alias(s), F.col("id").alias(f"own_{s}")) for s in "et"]
     # each class stands for itself and for its copies
     found = exact
