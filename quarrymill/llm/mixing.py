@@ -19,6 +19,7 @@ from quarrymill.session import cut
 
 ROOM = 0.97
 ROUNDS = 200
+SALTS = 64
 
 # Spellings of language codes.
 LANGUAGES = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "zho": "zh", "chi": "zh", "rus": "ru"}
@@ -79,6 +80,22 @@ def cap_cells(want: np.ndarray, most: np.ndarray, source: np.ndarray, target: np
     return want
 
 
+def rake_capped(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """rake() with no cell above most: cells that would be are fixed there, and the others are raked to what is left of all
+    margins, until none is above; at last the first margin is restored among the cells with room."""
+    fixed = np.zeros(len(tokens), bool)
+    want = np.zeros(len(tokens))
+    for _ in range(len(tokens)):
+        held = np.where(fixed, most, 0.0)
+        rest = [np.maximum(t - np.bincount(a, weights=held, minlength=len(t)), 0) for a, t in zip(axes, targets)]
+        want = held + rake(np.where(fixed, 0.0, tokens), axes, rest)
+        over = ~fixed & (want > most * (1 + 1e-9))
+        if not over.any():
+            break
+        fixed |= over
+    return cap_cells(np.minimum(want, most), most, axes[0], targets[0])
+
+
 def sized_documents(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """doc_id, source, lang, topic, tokens of the documents with tokens and a source; repeated ids count once."""
 
@@ -94,12 +111,14 @@ def sized_documents(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_
     return sized.where("tokens > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("source", "lang", "topic", "tokens")])
 
 
-def mixed_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
+def mixed_documents(documents: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, copies (at least 1) of the documents taken.
 
+    total is the wanted number of tokens; without it, or where its repeats allow no more, the total is ROOM times the
+    largest that the scarcest source allows.
+
     Documents without tokens, without source or of a source without target aren't taken. A target whose source has no
-    documents can't be met; its weight goes to the others in proportion, and mix_report shows it with share 0. The
-    total is ROOM times the largest that the scarcest source allows. Without documents or targets the result is empty.
+    documents can't be met; its weight goes to the others in proportion, and mix_report shows it with share 0. Without documents or targets the result is empty.
     """
     wanted = targets.where("source is not null and weight > 0 and max_repeats > 0").select(canonical_source(F.col("source")).alias("source"), "weight", "max_repeats")
     docs = cut(sized_documents(documents).join(F.broadcast(wanted), "source"), "sized")
@@ -114,14 +133,14 @@ def mixed_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
         most = np.zeros(len(have[0]))
         weight[axes[0]], most[axes[0]] = cells["weight"], cells["most"]
         weight /= weight.sum()
-        total = ROOM * float(np.min(have[0] * most / weight))
-        want = rake(tokens, axes, [weight * total, *[h / h.sum() * total for h in have[1:]]])
-        want = cap_cells(want, tokens * most[axes[0]], axes[0], weight * total)
+        largest = ROOM * float(np.min(have[0] * most / weight))
+        wanted_total = largest if total is None else min(float(total), largest)
+        want = rake_capped(tokens, axes, [weight * wanted_total, *[h / h.sum() * wanted_total for h in have[1:]]], tokens * most[axes[0]])
         rates = documents.sparkSession.createDataFrame(cells[["source", "lang", "topic"]].assign(rate=want / tokens), schema)
     else:
         rates = documents.sparkSession.createDataFrame([], schema)
-    rated = docs.join(F.broadcast(rates), ["source", "lang", "topic"]).withColumn("part", F.col("rate") - F.floor("rate")).withColumn("bucket", F.floor(F.log2("tokens") * 8).cast("int"))
-    # running sums of the fractions along the sizes, in two levels
+    rated = docs.join(F.broadcast(rates), ["source", "lang", "topic"]).withColumn("part", F.col("rate") - F.floor("rate")).withColumn("bucket", F.floor(F.log2("tokens") * 8).cast("bigint") * SALTS + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    # running sums of the fractions along the sizes, in two levels; a size class of a source is split by hash
     sums = rated.groupBy("source", "bucket").agg(F.sum("part").alias("s"))
     before = sums.select("source", "bucket", (F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
     order = Window.partitionBy("source", "bucket").orderBy("tokens", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -136,3 +155,15 @@ def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
     rows = targets.select(canonical_source(F.col("source")).alias("source"), "weight").join(taken, "source", "left").na.fill(0, ["documents", "copies", "tokens"])
     total = F.sum("tokens").over(Window.partitionBy())
     return rows.withColumn("share", F.round(F.coalesce(F.try_divide("tokens", total), F.lit(0.0)), 6))
+
+
+def margin_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each language and topic: margin, level, its share of the tokens at hand (what raking aims at) and of the mix."""
+    wanted = targets.where("source is not null and weight > 0 and max_repeats > 0").select(canonical_source(F.col("source")).alias("source"))
+    at_hand = sized_documents(documents).join(F.broadcast(wanted), "source").select("lang", "topic", F.lit(1).alias("copies"), "tokens", F.lit("at_hand").alias("side"))
+    both = at_hand.unionByName(mixed_documents(documents, targets).select("lang", "topic", "copies", "tokens", F.lit("mix").alias("side")))
+    levels = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("level")) for m in ("lang", "topic")])).alias("m")
+    sums = both.select(levels, "side", (F.col("copies") * F.col("tokens")).alias("t")).groupBy("m.margin", "m.level").agg(*[F.sum(F.when(F.col("side") == s, F.col("t")).otherwise(0)).alias(s) for s in ("at_hand", "mix")])
+    every = Window.partitionBy("margin")
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0)), 6)
+    return sums.select("margin", "level", share("at_hand").alias("share_at_hand"), share("mix").alias("share_of_mix"))

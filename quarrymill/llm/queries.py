@@ -11,7 +11,7 @@ from quarrymill.llm.leaks import leaked_items
 from quarrymill.llm.near_duplicates import near_duplicate_pairs, near_duplicate_report
 from quarrymill.llm.abuse import Model, abuse_rates, abuse_scores, abusive_records, fitted
 from quarrymill.llm.encoding import encode_texts
-from quarrymill.llm.mixing import mix_report, mixed_documents
+from quarrymill.llm.mixing import margin_report, mix_report, mixed_documents
 from quarrymill.llm.packing import CAPACITY, packed_sequences, packing_report, paired_items, placed_pieces
 from quarrymill.llm.pii import mentions, redact
 from quarrymill.llm.residue import residue_documents, residue_templates
@@ -118,6 +118,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_margins(spark: SparkSession, d: str) -> DataFrame:
+    return margin_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_residue(spark: SparkSession, d: str) -> DataFrame:
     return residue_documents(table(spark, d, "documents"), "doc_id", "text")
 
@@ -131,7 +135,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_leaks, p2_packed, p2_pieces, p2_totals, p2_report, p3_found, p3_scores, p3_rates, p4_found, p4_redacted, p5_found, p5_unseen, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_report, p9_found, p9_residue, p9_templates)
+    every = (p1_found, p1_leaks, p2_packed, p2_pieces, p2_totals, p2_report, p3_found, p3_scores, p3_rates, p4_found, p4_redacted, p5_found, p5_unseen, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_report, p8_margins, p9_found, p9_residue, p9_templates)
     return {f.__name__: f for f in every}
 
 

@@ -132,3 +132,18 @@ def test_mix_keeps_shares_and_repeats(spark):
     assert share["gone"] == 0 and share["web"] == pytest.approx(5 / 9, abs=0.01) and share["chat"] == pytest.approx(4 / 9, abs=0.01)
     assert mixing.mixed_documents(docs.limit(0), targets).count() == 0
     assert mixing.mixed_documents(docs, targets.limit(0)).count() == 0
+
+
+def test_capped_raking_keeps_all_margins_it_can():
+    import numpy as np
+
+    tokens = np.array([100.0, 300.0, 50.0, 500.0, 200.0, 80.0])
+    axes = [np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])]
+    targets = [np.array([200.0, 200.0, 100.0]), np.array([250.0, 250.0])]
+    want = mixing.rake_capped(tokens, axes, targets, tokens * 4)
+    for a, t in zip(axes, targets):
+        assert np.allclose(np.bincount(a, weights=want), t, rtol=1e-4)
+    most = np.array([60.0, 300.0, 400.0, 500.0, 200.0, 80.0])
+    want = mixing.rake_capped(tokens, axes, targets, most)
+    assert (want <= most * (1 + 1e-9)).all() and np.allclose(np.bincount(axes[0], weights=want), targets[0], rtol=1e-6)
+    assert np.allclose(np.bincount(axes[1], weights=want), targets[1], rtol=1e-3)
