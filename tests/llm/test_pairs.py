@@ -220,6 +220,23 @@ def test_hot_seeds_lose_no_leak(spark):
     assert sorted((int(x.doc_key), x.item_id) for x in rows) == [(i, i) for i in own]
 
 
+def test_bit_planes_transpose():
+    r = np.random.default_rng(2)
+    sketch = r.integers(0, 256, (50, 12), dtype=np.uint8)
+    rec = r.integers(0, 50, 8192 + 77)
+    planes = near_duplicates.bit_planes(sketch, rec, 8192 // 64 + 4)
+    lanes = np.unpackbits(planes.view(np.uint8), axis=1, bitorder="little")[:, : len(rec)]
+    assert (lanes == np.unpackbits(sketch[rec], axis=1, bitorder="little").T).all()
+
+
+def test_parts_have_partitions_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 30):
+        df = spark.createDataFrame([(int(k),) for k in near_duplicates.even_keys(n)], "part int")
+        assert sorted(r[0] for r in df.repartition(n, "part").select(F.spark_partition_id()).collect()) == [*range(n)]
+
+
 def test_tiles_cover_reordered_passages():
     item = np.arange(20)
     doc = np.r_[item[10:], 99, item[:10]]
