@@ -9,6 +9,7 @@ from quarrymill.functions import arrays as ar
 from quarrymill.operators import measures as ms
 from quarrymill.operators import scoring as op
 from quarrymill.operators import sequential as sq
+from quarrymill.operators import tagging
 from quarrymill.operators import tokens as tk
 from quarrymill.plans.filters import TAGGED, tagged
 from quarrymill.plans.measures import KINDS, PRED, predictions
@@ -236,3 +237,10 @@ def a19b(d):
     ids = sq.encoded(F.col("text"))
     r = d.where("text is not null").select("text", ids.alias("ids")).select("text", sq.decoded(F.col("ids")).alias("back"))
     return r.agg(F.count("*").alias("texts"), F.count_if(F.col("text") == F.col("back")).alias("same"))
+
+
+@query("x6_tagged", "documents", "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(l) AS line, unnest([coalesce(list_sum([length(x) + 1 for x in l[1:k - 1]]), 0) for k in range(1, len(l) + 1)])::BIGINT AS s FROM d) SELECT doc_id, s AS start, s + length(line)::BIGINT AS end, round(len([w for w in string_split(lower(line), ' ') if w in ('you', 'your', 'yours', 'u')])::DOUBLE / len(string_split(lower(line), ' ')), 6) AS score FROM s")
+def x6(d):
+    """The spans that a registered tagger attaches: lines and their share of second-person words."""
+    t = tagging.tagged(d.where("text is not null").select("doc_id", "text"), "text", ["second_person"]).select("doc_id", F.inline("second_person"))
+    return t.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.round("score", 6).alias("score"))

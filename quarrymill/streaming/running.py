@@ -25,3 +25,15 @@ def filter_statistics(stream: DataFrame, kept, folder: str, checkpoint: str) ->
         batch.agg(F.count("*").alias("read"), F.count_if(kept).alias("kept")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/counts")
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def paired_stream(parents: DataFrame, children: DataFrame, key: str, time: str, within: str = "1 day", late: str = "2 hours") -> DataFrame:
+    """Children joined with the parents of their key that came at most `within` before them, as both arrive.
+
+    The state holds the rows that a row within the watermark can still meet: it grows with the rate of arrival, not with
+    the length of the stream. Columns other than the key take the prefixes parent_ and child_."""
+    named = lambda df, p: df.select(F.col(key).alias(f"{p}_{key}"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key]).withWatermark(f"{p}_{time}", late)
+    p, c = named(parents, "parent"), named(children, "child")
+    at, before = F.col(f"child_{time}"), F.col(f"parent_{time}")
+    met = p.join(c, (F.col(f"parent_{key}") == F.col(f"child_{key}")) & (before <= at) & (before >= at - F.expr(f"INTERVAL {within}")))
+    return met.withColumnRenamed(f"parent_{key}", key).drop(f"child_{key}")

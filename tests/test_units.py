@@ -271,6 +271,41 @@ def test_statistics_of_arriving_files(spark, tmp_path):
     assert tuple(total) == (10, 5) and spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 5
 
 
+def test_pairs_as_both_streams_arrive(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    spark.createDataFrame([(1, at(0), "p"), (1, at(30), "q"), (2, at(1), "r")], "k int, t timestamp, x string").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, at(2), "c"), (1, at(31), "d"), (2, at(40), "late"), (3, at(1), "none")], "k int, t timestamp, x string").write.parquet(str(tmp_path / "c"))
+    sides = [running.stream_of(spark, str(tmp_path / n), "k int, t timestamp, x string") for n in "pc"]
+    out = running.paired_stream(*sides, "k", "t", "24 hours")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.k, r.parent_x, r.child_x) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert got == [(1, "p", "c"), (1, "q", "d")]
+
+
+def test_taggers(spark):
+    from quarrymill.operators import tagging
+
+    df = spark.createDataFrame([("You go\nnow",), (None,), ("",)], "t string")
+    got = [r.second_person for r in tagging.tagged(df, "t", ["second_person"]).collect()]
+    assert [tuple(x) for x in got[0]] == [(0, 6, 0.5), (7, 10, 0.0)] and got[1] is None and [tuple(x) for x in got[2]] == [(0, 0, 0.0)]
+    model = tagging.of_model(lambda texts: [[(0, len(t), 0.25)] for t in texts])
+    assert [r[0] and [tuple(x) for x in r[0]] for r in df.select(model(F.col("t"))).collect()] == [[(0, 10, 0.25)], None, [(0, 0, 0.25)]]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quarrymill.session import shared_dir
+
+    fake = lambda master, found: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: found), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(fake("yarn", "hdfs://x/cp/")) == "hdfs://x/cp" and shared_dir(fake("local[2]", None)).startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(master, None))
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 
