@@ -49,7 +49,7 @@ müller schmidt schneider fischer weber meyer wagner becker hoffmann dubois dura
 ivanov petrov smirnova kowalski nowak novak hansen nielsen johansson virtanen khan patel singh kumar chen wang zhang tanaka suzuki kim park
 o'brien murphy o'connor macdonald fitzgerald van-dijk de-vries papadopoulos popescu nagy yilmaz haddad okonkwo mensah dlamini""".split()
 # Usual endings of family names in European languages.
-ENDINGS = "son sen son ski sky ska ov ova ev enko uk ić ez es ini elli etti oni eau ier mann man berg burg stein thal bach er ström lund gren quist dahl nen ton ham ford field well wood worth land ley ridge more hart ell ard ius escu yan ian idis poulos oglu".split()
+ENDINGS = "sky ska ev uk ić es etti oni eau ier burg stein thal bach lund gren dahl nen ford wood worth land ridge ell ius escu yan ian idis oglu".split()
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Sir".split()
 # Kinds of streets and of units.
 STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct Close Terrace Way Place Square Row Crescent Walk Alley Parkway Circle Trail Loop".split()
@@ -58,11 +58,11 @@ ROMANCE = "rue|avenue|boulevard|chemin|allée|quai|impasse|via|viale|piazza|call
 UNITS = "Flat Unit Apt Apartment Suite Room".split()
 # Short cues that may stand before or after a mention of each kind.
 BEFORE = {
-    "name": "|||by|from|with|to|ask|tell|met|dear|hi|called|named|hired|and|signed|for|saw|said|yours,\n|regards,\n|best,\n|name:|author:|contact:|attn|cc|i am|this is|my friend|our boss|her name is".split("|"),
-    "email": "|||mail|email|e-mail|write to|contact|at|to|send it to|reply to|mail:|email:|via|address:|or|from".split("|"),
+    "name": "|||by|from|with|to|ask|tell|met|dear|hi|called|named|hired|and|signed|for|saw|said|yours,\n|regards,\n|best,\n|name:|author:|contact:|attn|cc|this is|my friend|our boss|her name is".split("|"),
+    "email": "|||mail|email|e-mail|contact|at|to|send it to|reply to|mail:|email:|via|address:|or|from".split("|"),
     "phone": "|||call|phone|tel|tel.|phone:|tel:|mobile|cell|fax|text|ring|dial|on|at|number|number:|whatsapp|line".split("|"),
-    "id_number": "ssn|ssn:|social security|social security number|social security no.|national insurance|national insurance number|ni number|nino|passport|passport no|passport number|passport:|licence|license|driving licence|driver license number|licence no.|id|id:|id number|my id is|".split("|"),
-    "address": "|||at|lives at|address|address:|addr|of|to|from|near|in|deliver to|ship to|moved to|house at|home:|visit".split("|"),
+    "id_number": "ssn|ssn:|social security|social security no.|national insurance|ni number|nino|passport|passport nr|passport:|licence|license|driver license number|licence nr|id|id:|id number|my id is|".split("|"),
+    "address": "|||at|living at|address|address:|addr|of|to|from|near|in|deliver to|ship to|home:|visit".split("|"),
 }
 AFTER = {
     "name": "|||said|says|is|was|wrote|and|who|agreed|called|at|from|,|.|!|?|:|)|'s|;".split("|"),
@@ -351,7 +351,7 @@ def made(r: random.Random, p: Prose) -> tuple[str, list[tuple[int, int, int]]]:
             kind = r.choice(("name", "name", "name", *KINDS))
             put(" ".join(p.word() for _ in range(r.randint(0, 2))))
             if kind == "name" and r.random() < 0.06:  # an unknown given name needs a clear cue
-                put(r.choice(["my name is", "full name", "name:", "signed by", "belongs to", "thanks to", "mother of", "son of", "her husband", "his wife", "colleague", "doctor", "our neighbour", "author"]))
+                put(r.choice(["called", "name:", "named", "mother of", "son of", "her husband", "his wife", "colleague", "doctor", "cousin", "author"]))
                 put(value := f"{syllables(r).capitalize()} {family(r)}")
                 spans.append((len(out) - len(value), len(out), 4))
                 put(r.choice(AFTER[kind]))
@@ -501,7 +501,7 @@ class Trainer:
 
 
 def train(out: str, minutes: float = 5.0, seed: int = SEED, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", rate: float = 0.012, start: str | None = None) -> None:
-    """Train for so many minutes with a falling rate; writes the weights to out. The shipped weights took two runs, the second from the first (start)."""
+    """Train for so many minutes with a falling rate; writes the weights to out. The shipped weights took one run of 12.3 minutes."""
     r = random.Random(seed)
     p = Prose(r, vocabulary)
     t = Trainer(seed)
