@@ -26,12 +26,14 @@ def segments(text: Column, spans: Column) -> Column:
     return let(spans, lambda s: F.transform(s, lambda x, i: F.substring(text, F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"]) + 1, F.greatest(x["end"] - F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"]), F.lit(0)))))
 
 
-def labelled_tokens(text: Column, spans: Column, code, tokenize=word_ids) -> tuple[Column, Column]:
-    """Token ids of the segments one after the other, and the code of each segment's span repeated for its tokens."""
-    each = F.transform(segments(text, spans), tokenize)
-    ids = F.flatten(each)
-    mask = F.flatten(F.zip_with(each, spans, lambda t, s: F.array_repeat(code(s["score"]), F.size(t))))
-    return ids, mask
+def labelled_tokens(text: Column, spans: Column, code, tokenize=word_ids) -> Column:
+    """A struct of ids (the segments' tokens one after the other) and mask (the code of each segment's span, repeated for its tokens)."""
+
+    def both(each):
+        mask = F.flatten(F.zip_with(each, spans, lambda t, s: F.array_repeat(code(s["score"]), F.size(t))))
+        return F.struct(F.flatten(each).alias("ids"), mask.alias("mask"))
+
+    return let(F.transform(segments(text, spans), tokenize), both)
 
 
 def kept_positions(key: Column, ids: Column, share: float, banned: list[int] = ()) -> Column:

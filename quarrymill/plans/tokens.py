@@ -28,9 +28,9 @@ def pairs(p):
 @query("pr11_span_tokens", "toxic_reddit", ROWS + f", s AS (SELECT r, id, text, spans, unnest(range(1, len(spans) + 1)) AS k FROM d), w AS (SELECT r, id, k, CASE WHEN spans[k].score > 0.9 THEN 3 WHEN spans[k].score > 0.1 THEN 2 ELSE 1 END AS c, {IDS.format(t='substr(text, coalesce(spans[k - 1].end, 0) + 1, greatest(spans[k].end - coalesce(spans[k - 1].end, 0), 0))')} AS i FROM s), x AS (SELECT r, id, flatten(list(i ORDER BY k)) AS i, flatten(list([c for z in i] ORDER BY k)) AS m FROM w GROUP BY r, id) SELECT id, len(i)::BIGINT AS n, {MD5.format(a='i')} AS ids, {MD5.format(a='m')} AS mask FROM x")
 def pr11b(t):
     """Each span with the gap before it is tokenized by itself; ids and the spans' codes, repeated for their tokens. No shuffle."""
-    ids, mask = tk.labelled_tokens(F.col("text"), F.col("spans"), lambda v: sp.mask_code(v, 0.1, 0.9))
-    rows = tagged(t).where(F.col("text").isNotNull() & (F.size("spans") > 0)).select("id", ids.alias("i"), mask.alias("m"))
-    return rows.select("id", F.size("i").cast("bigint").alias("n"), digest(F.col("i")).alias("ids"), digest(F.col("m")).alias("mask"))
+    labelled = tk.labelled_tokens(F.col("text"), F.col("spans"), lambda v: sp.mask_code(v, 0.1, 0.9))
+    rows = tagged(t).where(F.col("text").isNotNull() & (F.size("spans") > 0)).select("id", labelled.alias("s"))
+    return rows.select("id", F.size("s.ids").cast("bigint").alias("n"), digest(F.col("s.ids")).alias("ids"), digest(F.col("s.mask")).alias("mask"))
 
 
 @query("pr12_keep_positions", "input_ids", ITEMS + "SELECT item_id, md5(array_to_string(list_sort([split_part(h, ':', 2)::INT for h in list_sort([md5(item_id::VARCHAR || ':' || k::VARCHAR) || ':' || k::VARCHAR for k in range(len(a))])[1:len(a) * 3 // 10] if a[split_part(h, ':', 2)::INT + 1] not in (7919, 15838)]), ',')) AS kept FROM d")
