@@ -109,6 +109,36 @@ def test_split_files_lose_nothing(monkeypatch):
     assert max(len(f) for f in files.values()) < n
 
 
+def test_a_round_sends_few_copies_of_a_class():
+    """What one round shuffles stays in proportion to the classes, however many parts a large table has."""
+    import pyarrow as pa
+
+    n, files = 500, 56
+    for classes in (190_000, 2_000_000, 12_700_000, 130_000_000):
+        parts, rounds = near_duplicates.parts_and_rounds(classes, classes * files)
+        assert rounds <= files / near_duplicates.COPIES + 1
+        assert classes * min(1, files / parts) * near_duplicates.CLASS_BYTES <= 1.1 * near_duplicates.PART_BYTES
+    parts, rounds = near_duplicates.parts_and_rounds(12_700_000, 12_700_000 * files)
+    keys = np.random.default_rng(5).integers(0, 1 << 31, (n, files)).astype(np.int32)
+    two = [near_duplicates.to_blobs(x, np.full(n, files * 4)) for x in (keys, np.ones_like(keys))]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"r{k}" for k in range(n)]), pa.array([112] * n, pa.int32()), pa.array([b"\0" * (near_duplicates.PLANES // 8)] * n, pa.binary()), *two], names=["id", "n", "sketch", "keys", "heavy"])
+    sent, filed = [], 0
+    for k in range(rounds):
+        rows = [r for b in near_duplicates._sent([batch], parts, parts * k // rounds, parts * (k + 1) // rounds) for r in b.to_pylist()]
+        heads = [np.frombuffer(r["heads"], np.int32).reshape(-1, 3) for r in rows]
+        sent.append(sum(len(h) for h in heads) / n)
+        filed += sum(int(h[:, 2].sum()) for h in heads)
+    assert max(sent) <= 1.25 * near_duplicates.COPIES and filed == n * files
+
+
+def test_pairs_of_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COPIES", 1)
+    rows = [(f"k{i:03d}é", t) for i, t in enumerate(texts(2))]
+    got = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string").repartition(3), "id", "text").collect()}
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(sorted(rows), 2) if alike(x, y)}
+    assert want and got == want
+
+
 def test_sliced_distances_are_exact():
     r = np.random.default_rng(3)
     n, planes = 150, near_duplicates.PLANES
