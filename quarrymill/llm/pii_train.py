@@ -42,6 +42,19 @@ ABROAD = """hans stefan ursula klaus sabine jürgen monika dieter petra lukas le
 carmen javier lucia miguel elena giovanni giulia marco francesca chiara paolo ivan olga dmitry natalia sergei tatiana piotr agnieszka jan
 katarzyna lars ingrid erik astrid mohamed fatima ahmed aisha omar layla raj priya amit wei mei hiroshi yuki minh kofi amara chidi zanele
 diego ravi noor yusuf elif""".split()
+# Further frequent given names of the statistics of the United States, the United Kingdom and other countries.
+GIVEN += """eugene ralph louis philip johnny harry howard fred ernest craig stanley leonard manuel rodney curtis norman marvin glenn travis melvin
+alfred francis herbert frederick joel edwin eddie ricky troy randall barry bernard leroy oscar clifford theodore jay jim tom mike bill dan greg steve
+dave ben sam matt nick chris alex oliver charlie archie freddie theo alfie harrison finley isaac max toby jamie ewan callum rhys graham trevor clive
+ian neil stuart gordon duncan malcolm colin derek ellen elaine marjorie thelma esther pauline juanita anita rhonda hazel eva debbie april leslie clara
+lucille joanne eleanor valerie alicia suzanne michele gail bertha darlene veronica jill erin geraldine cathy lorraine lynn sally regina erica beatrice
+dolores bernice audrey yvonne annette june marion dana stacy ana renee ida vivian roberta holly melanie loretta yolanda jeanette laurie katie kristen
+vanessa alma sue elsie beth jeanne kate poppy ella isla freya daisy phoebe ruby lily millie rosie imogen harriet gemma fiona gillian lorna moira""".split()
+ABROAD += """anton boris vladimir igor svetlana irina anastasia pavel jana zuzana istvan zoltan katalin gabor ioana andrei cristina nikos dimitris
+eleni giorgos stavros mustafa mehmet ayse fatma hassan ali hussein leila khadija ibrahim tariq samir nadia sanjay rahul anil sunita deepak anjali arjun
+kavita jing xiao hui jun takashi kenji haruka sakura akira thanh linh budi siti agus emeka ngozi kwame abena thabo sipho lerato tendai bjorn sven anders
+karin birgit jorge pablo rosa teresa pilar manuela paulo ricardo beatriz henrique mateo valentina luca alessandro federica giorgia jules hugo manon
+chloé mathieu sylvie günter wolfgang heike anke joao ines""".split()
 # Frequent family names of public statistics of several countries.
 FAMILY = """smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez wilson anderson taylor moore jackson
 martin lee thompson white harris clark lewis robinson walker young allen king wright scott torres nguyen hill flores adams nelson baker hall
@@ -50,6 +63,7 @@ ivanov petrov smirnova kowalski nowak novak hansen nielsen johansson virtanen kh
 o'brien murphy o'connor macdonald fitzgerald van-dijk de-vries papadopoulos popescu nagy yilmaz haddad okonkwo mensah dlamini""".split()
 # Usual endings of family names in European languages.
 ENDINGS = "sky ska ev uk ić es etti oni eau ier burg stein thal bach lund gren dahl nen ford wood worth land ridge ell ius escu yan ian idis oglu".split()
+NAMES = {g.capitalize() for g in GIVEN + ABROAD}  # all of the lists above
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Sir".split()
 # Kinds of streets and of units.
 STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct Close Terrace Way Place Square Row Crescent Walk Alley Parkway Circle Trail Loop".split()
@@ -117,6 +131,9 @@ class Prose:
                 w[k] = str(r.randint(1, 400))
             elif x < 0.235:
                 w[k] = given(r).lower() if r.random() < 0.3 else given(r)
+        for k in range(len(w) - 1):
+            if w[k] in NAMES and w[k + 1] != "I":  # a given name and a capital would be a name
+                w[k + 1] = w[k + 1].lower()
         s = " ".join(w)
         s = s.upper() if r.random() < 0.03 else s
         return (s[0].upper() + s[1:] if r.random() < 0.75 else s) + (" " + symbols(r) if r.random() < 0.08 else "") + r.choice([".", ".", ".", "!", "?", "...", ""])
@@ -167,7 +184,7 @@ def name(r: random.Random) -> tuple[str, int]:
         other = r.choice(["абвгдеиклмнопрст", "αβγδεικλμνοπρστ"])
         w = ["".join(r.choice(other) for _ in range(r.randint(3, 9))).capitalize() for _ in range(2)]
         return " ".join(w), 0
-    if 0.56 <= k < 0.62:  # in lower case only a known given name tells a name
+    if 0.56 <= k < 0.60:  # in lower case only a known given name tells a name
         return f"{given(r)} {f}".lower(), 0
     return (f"{g} {f}".upper() if k < 0.56 else f"{g} {f}"), 0
 
@@ -263,6 +280,11 @@ def decoy(r: random.Random, p: Prose) -> str:
             lambda: f"{n} {r.choice(FUNCTION)} {n + r.randint(1, 9)}",
             lambda: f"{p.word()} {n}, {p.word()} {r.randint(1, 30)}",
             lambda: f"{r.choice(FUNCTION)} {p.word()} {p.word()} {r.choice(FUNCTION)}",
+            *[lambda: f"{r.choice(FUNCTION)} {p.word()} {p.word()}{r.choice(('.', ',', '?', '.NL', '.NLNL', 'NL')).replace('NL', chr(10))}"] * 4,
+            *[lambda: f"{r.choice(FUNCTION).capitalize()} {p.word()} {p.word()} {p.word()} {r.choice(FUNCTION)}"] * 2,
+            *[lambda: f"{r.choice(('from', 'in', 'to', 'of', 'at', 'near', 'about'))} {cap()}{r.choice(('.NL', '.NLNL', 'NL', '.', ' called', ' said')).replace('NL', chr(10))}"] * 2,
+            lambda: f"{chr(10)}{noun()}{r.choice((',', '', ''))} {cap()} {r.choice(FUNCTION)} {cap()}",
+            lambda: f"{chr(10)}{r.choice(FUNCTION).capitalize()} {cap()} {p.word()}",
             lambda: f"{p.word()} {p.word()}{r.choice(';,.')} {r.choice(FUNCTION)} {p.word()}",
             lambda: f"{r.choice(('from', 'in', 'to', 'of', 'at', 'near', 'about'))} {cap()}",
             lambda: f"{r.choice(('from', 'in', 'to', 'of', 'at', 'near', 'about'))} {cap()} {r.choice(FUNCTION)}",
@@ -332,13 +354,15 @@ def made(r: random.Random, p: Prose) -> tuple[str, list[tuple[int, int, int]]]:
 
     def put(x: str, glue: str | None = None) -> None:
         nonlocal out
+        if glue is None and x[:1].isupper() and out.rpartition(" ")[2].rpartition("\n")[2] in NAMES:  # not the beginning of a name
+            out += r.choice((".", ".", "!", "?", ":", ".\n"))
         if out and x and not out.endswith(("\n", "(", "<", "[", " ", '"')) and not (glue is None and x[0] in ".,;!?:)'\""):
             out += " " if glue is None else glue
         out += x
 
     while len(out) < LENGTH + 24:
         x = r.random()
-        if x < 0.40:
+        if x < 0.39:
             put(p.text())
             if r.random() < 0.15:
                 out += r.choice(["\n", "\n\n", "  ", " > "])
@@ -364,7 +388,14 @@ def made(r: random.Random, p: Prose) -> tuple[str, list[tuple[int, int, int]]]:
                 out += r.choice([",", ",", ",", ".", " and"])
                 put(r.choice((r.choice(AFTER[kind]), p.word())))
                 continue
-            cue = r.choice(FUNCTION) if kind != "id_number" and r.random() < 0.25 else r.choice(BEFORE[kind])
+            if kind == "name" and r.random() < 0.08:  # a line of its own
+                value, skip = name(r)
+                out += r.choice(("\n", "\n\n", ".\n", "-\n", "--\n", ",\n", "\n> ", "\n* "))
+                out += value
+                spans.append((len(out) - len(value) + skip, len(out), 4))
+                out += r.choice(("\n", "\n", "\n\n", ".\n", ".\n\n", ",\n"))
+                continue
+            cue = r.choice(FUNCTION) if kind != "id_number" and r.random() < 0.25 else p.word() if kind == "name" and r.random() < 0.25 else r.choice(BEFORE[kind])
             put(cue.capitalize() if r.random() < 0.35 else cue.upper() if r.random() < 0.06 else cue)
             if r.random() < 0.1:
                 put(r.choice(["is", "was", "no.", "#", ":", "=", "-"]))
@@ -378,6 +409,9 @@ def made(r: random.Random, p: Prose) -> tuple[str, list[tuple[int, int, int]]]:
             put(value, "" if wrap[0] else " ")
             spans.append((len(out) - len(value) + skip, len(out), KINDS.index(kind)))
             out += wrap[1]
+            if kind == "name" and r.random() < 0.3:
+                put(r.choice((p.word(), p.word(), r.choice(FUNCTION), ".\n", ".\n\n", "\n", ". ")))
+                continue
             put(r.choice(AFTER[kind]))
     if r.random() < 0.03 and not any(k == 4 for *_, k in spans):
         out = out.upper()
@@ -501,7 +535,8 @@ class Trainer:
 
 
 def train(out: str, minutes: float = 5.0, seed: int = SEED, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", rate: float = 0.012, start: str | None = None) -> None:
-    """Train for so many minutes with a falling rate; writes the weights to out. The shipped weights took one run of 12.3 minutes."""
+    """Train for so many minutes with a falling rate; writes the weights to out. The shipped weights took
+    a run of 12.3 minutes and, with the generator changed, one of 6.5 (start, seed 23, rate 0.006) and, with the decoys of word pairs and line ends added, one of 3 (start, seed 29, rate 0.005)."""
     r = random.Random(seed)
     p = Prose(r, vocabulary)
     t = Trainer(seed)

@@ -160,6 +160,12 @@ def test_stretches_lose_nothing():
         assert got[: n[j], j].tolist() == y[::-1]
 
 
+@pytest.mark.parametrize("before, name, after", [("I think ", "Ursula Hammergren", " left early."), ("It was late.\n--\n", "Petra Dahlmeister", "\nnurse at the clinic"), ("Do you know ", "Thomas Wexmoor", " from the choir?"), ("That coat is owned by ", "Victoria Stamwick", ".\n\nNobody saw it."), ("The keys of ", "Pierre Lamotte", " were found.")])
+def test_names_without_a_cue_and_at_line_ends(before, name, after):
+    (found,) = pii.find_mentions([before + name + after], pii.tagger())
+    assert found == [(len(before), len(before) + len(name), pii.KINDS.index("name"))]
+
+
 def test_held_out_accuracy_of_mentions():
     made = generated(99, 500)
     found = pii.find_mentions([t for t, _ in made], pii.tagger())
