@@ -28,7 +28,8 @@ LABELS = 1 + 2 * len(KINDS)
 WINDOW = 1536
 OVERLAP = 96
 BATCH = 1024
-BATCH_CHARACTERS = 700_000
+BATCH_CHARACTERS = 1_600_000
+STEPS = 8
 TEXTS = 10_000
 NEVER = np.float32(-1e4)
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
@@ -48,6 +49,8 @@ for _k, _x in enumerate(OWN):
 
 def codes(text: str) -> np.ndarray:
     """A small number for each character."""
+    if text.isascii():
+        return _TABLE.take(np.frombuffer(text.encode(), np.uint8))
     u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return np.where(u < 0x3000, _TABLE[np.minimum(u, 0x2FFF)], OTHER).astype(np.int16)
 
@@ -76,37 +79,69 @@ class Tagger:
         self.bound = [[float(move[i, j].max()) for j in part] for i in part]
         self.first = [float(start[i].max()) for i in part]
         self.size = size
-
-    def _direction(self, x: np.ndarray, name: str) -> np.ndarray:
-        """Hidden states of one direction, time by batch by state; x is time by batch."""
-        table, u, size, wide = self.w["x" + name], self.w["u" + name], self.size, x.shape[1]
-        out = np.empty((*x.shape, size), np.float32)
-        h = np.zeros((wide, size), np.float32)
-        c = np.zeros_like(h)
+        self.begin = {"f": (np.float32(0), np.float32(0)), "b": self._settled("b")}
+
+    def _settled(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The state and cell that padding, which followed most windows in training, leaves behind."""
+        h, c = np.zeros((2, 1, self.size), np.float32)
+        for _ in range(64):
+            z = self.w["x" + name][:, PAD][:, None] + h @ self.w["u" + name]
+            i, f, o = z[:3].clip(0, 1)
+            c = (f * c + i * z[3].clip(-1, 1)).clip(-1, 1)
+            h = o * c
+        return h, c
+
+    def _direction(self, x: np.ndarray, active: list[int], name: str, e: np.ndarray) -> None:
+        """Adds one direction's share of the label scores to e (label by time by batch); x is time by batch.
+
+        At time t only the columns from active[t] on have a character: each direction begins at its window's own first
+        or last character, so no step is spent on padding and no window's scores depend on the windows beside it. Label
+        scores are taken from a few steps at a time, while their states are in the cache.
+        """
+        table, u, size, wide, out = self.w["x" + name], self.w["u" + name], self.size, x.shape[1], self.w["out"]
+        out = np.ascontiguousarray((out[:size] if name == "f" else out[size:]).T)
+        states, c = np.empty((STEPS, wide, size), np.float32), np.empty((wide, size), np.float32)
+        states[:], c[:] = self.begin[name]
         z, g = np.empty((4, wide, size), np.float32), np.empty((4, wide, size), np.float32)
-        gates, i, f, o, q = z[:3], z[0], z[1], z[2], z[3]
-        clip = np.clip
-        for t in range(len(x)) if name == "f" else range(len(x) - 1, -1, -1):
-            table.take(x[t], axis=1, out=g, mode="clip")
-            np.matmul(h, u, out=z)
-            z += g
-            clip(gates, 0, 1, out=gates)
-            clip(q, -1, 1, out=q)
-            q *= i
-            c *= f
-            c += q
-            clip(c, -1, 1, out=c)
-            h = out[t]
-            np.multiply(o, c, out=h)
-        return out
+        low, high, minus = np.float32(0), np.float32(1), np.float32(-1)
+        add, multiply, matmul = np.add, np.multiply, np.matmul
+        before, at = states[-1], -1
+        blocks = range(0, len(x), STEPS)
+        for lo in blocks if name == "f" else blocks[::-1]:
+            hi = min(lo + STEPS, len(x))
+            for t in range(lo, hi) if name == "f" else range(hi - 1, lo - 1, -1):
+                if active[t] != at:
+                    at = active[t]
+                    zs, gs, cs = z[:, at:], g[:, at:], c[at:]
+                    gates, i, f, o, q = zs[:3], zs[0], zs[1], zs[2], zs[3]
+                table.take(x[t, at:], axis=1, out=gs, mode="clip")
+                matmul(before[at:], u, out=zs)
+                add(zs, gs, out=zs)
+                gates.clip(low, high, out=gates)
+                q.clip(minus, high, out=q)
+                multiply(q, i, out=q)
+                multiply(cs, f, out=cs)
+                add(cs, q, out=cs)
+                cs.clip(minus, high, out=cs)
+                before = states[t - lo]
+                multiply(o, cs, out=before[at:])
+            first = active[lo]
+            some = e[:, lo:hi, first:]
+            some += (out @ states[: hi - lo, first:].reshape(-1, size).T).reshape(some.shape)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Label scores, label by time by batch."""
-        size = self.size
-        out = self.w["out"][:size].T @ self._direction(x, "f").reshape(-1, size).T
-        out += self.w["out"][size:].T @ self._direction(x, "b").reshape(-1, size).T
-        out += self.w["bias"][:, None]
-        return out.reshape(LABELS, *x.shape)
+        """Label scores, label by time by batch; those of PAD mean nothing."""
+        n = (x != PAD).sum(0)
+        if (n[1:] < n[:-1]).any():
+            order = np.argsort(n, kind="stable")
+            e = self.emissions(x[:, order])
+            return e[:, :, np.argsort(order)]
+        e = np.empty((LABELS, *x.shape), np.float32)
+        e[:] = self.w["bias"][:, None, None]
+        x, active = x.astype(np.intp), np.searchsorted(n, np.arange(len(x)), "right").tolist()
+        for name in "fb":
+            self._direction(x, active, name, e)
+        return e
 
     def stretches(self, e: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
         """(column, first, end): wherever a best labelling may be other than outside; n has the windows' lengths.
@@ -114,34 +149,37 @@ class Tagger:
         The kinds are taken together: begin and inside score what the best kind does, and so do the transitions. The
         best path of these three labels through a position bounds every labelling that isn't outside there.
         """
-        begin, inside = e[1].copy(), e[2].copy()
-        for k in range(3, LABELS, 2):
-            np.maximum(begin, e[k], out=begin)
-            np.maximum(inside, e[k + 1], out=inside)
-        begin -= e[0]
-        inside -= e[0]
-        off = np.arange(len(begin))[:, None] >= n
-        begin[off] = inside[off] = -1e9
-        (_, ob, oi), (bo, bb, bi), (io, ib, ii) = self.bound
-        ahead = np.empty((2, *begin.shape), np.float32)
-        o = np.zeros(begin.shape[1], np.float32)
-        for t in range(len(begin)):
-            if t == 0:
-                ahead[0, 0], ahead[1, 0] = begin[0] + self.first[1], inside[0] + self.first[2]
-            else:
-                pb, pi = ahead[0, t - 1], ahead[1, t - 1]
-                np.maximum(np.maximum(o + ob, pb + bb), pi + ib, out=ahead[0, t])
-                np.maximum(np.maximum(o + oi, pb + bi), pi + ii, out=ahead[1, t])
-                o = np.maximum(o, np.maximum(pb + bo, pi + io))
-                ahead[0, t] += begin[t]
-                ahead[1, t] += inside[t]
+        long, wide = e.shape[1:]
+        gain = np.zeros((long, 3, wide), np.float32)  # of outside, begin and inside over outside
+        for j in (1, 2):
+            best = gain[:, j]
+            best[:] = e[j]
+            for k in range(j + 2, LABELS, 2):
+                np.maximum(best, e[k], out=best)
+            best -= e[0]
+            best[np.arange(long)[:, None] >= n] = -1e9
+        to, first = np.array(self.bound, np.float32)[:, :, None], np.array(self.first, np.float32)[:, None]
+        ahead = np.empty((long, 3, wide), np.float32)
+        add, maximum = np.add, np.maximum
+        a, b = np.empty((3, wide), np.float32), np.empty((3, wide), np.float32)
+        now = add(gain[0], first, out=ahead[0])
+        for t in range(1, long):
+            add(now[0], to[0], out=a)
+            maximum(a, add(now[1], to[1], out=b), out=a)
+            maximum(a, add(now[2], to[2], out=b), out=a)
+            now = add(a, gain[t], out=ahead[t])
         # gains of the rest, for labels outside, begin and inside here; 0 at the end of a window
-        may = np.zeros((begin.shape[1], len(begin) + 2), np.int8)
-        ro, rb, ri = (np.zeros(begin.shape[1], np.float32) for _ in range(3))
-        for t in range(len(begin) - 1, -1, -1):
-            may[:, t + 1] = np.maximum(ahead[0, t] + rb, ahead[1, t] + ri) > 0
-            xb, xi = rb + begin[t], ri + inside[t]
-            ro, rb, ri = (np.maximum(np.maximum(ro + (0.0 if k == 0 else (bo, io)[k - 1]), xb + (ob, bb, ib)[k]), xi + (oi, bi, ii)[k]) for k in range(3))
+        to = np.ascontiguousarray(to.transpose(1, 0, 2))
+        rest = np.zeros((3, wide), np.float32)
+        for t in range(long - 1, -1, -1):
+            now = ahead[t]
+            now += rest
+            add(rest, gain[t], out=b)
+            add(b[0], to[0], out=rest)
+            maximum(rest, add(b[1], to[1], out=a), out=rest)
+            maximum(rest, add(b[2], to[2], out=a), out=rest)
+        may = np.zeros((wide, long + 2), np.int8)
+        may[:, 1:-1] = (maximum(ahead[:, 1], ahead[:, 2]) > 0).T
         col, at = np.nonzero(np.diff(may, axis=1))
         return list(zip(col[::2].tolist(), at[::2].tolist(), at[1::2].tolist()))
 
@@ -154,7 +192,7 @@ class Tagger:
         """The best labels of stretches (first, whether the window ends there, label scores)."""
         move, out = self.w["move"], [np.zeros(0, np.int8)] * len(found)
         free, own = [0, *range(1, LABELS, 2)], np.arange(1, LABELS, 2)  # outside and begin may follow all labels; inside only two
-        to_free, from_begin, from_inside = move[:, free][:, :, None], move[own, own + 1][:, None], move[own + 1, own + 1][:, None]
+        to_free, from_begin, from_inside = np.ascontiguousarray(move[:, free])[:, :, None], move[own, own + 1][:, None], move[own + 1, own + 1][:, None]
         order = sorted(range(len(found)), key=lambda k: found[k][2].shape[1])
         lengths = [found[k][2].shape[1] for k in order]
         lo = 0
@@ -162,33 +200,25 @@ class Tagger:
             hi = bisect_right(lengths, 16 + lengths[lo] * 3 // 2, lo, min(lo + 512, len(order)))
             some, size = order[lo:hi], np.array(lengths[lo:hi])
             lo, longest = hi, lengths[hi - 1]
-            z = np.zeros((LABELS, longest, len(some)), np.float32)
+            every, active = np.arange(len(some)), np.searchsorted(size, np.arange(longest), "right").tolist()
+            score = np.zeros((longest, LABELS, len(some)), np.float32)
             for j, k in enumerate(some):
-                z[:, : size[j], j] = found[k][2]
+                score[: size[j], :, j] = found[k][2].T
             first, ends = np.array([found[k][0] for k in some]), np.array([found[k][1] for k in some])
-            score = z[:, 0] + np.where((first == 0)[None, :], self.w["start"][:, None], move[0][:, None])
-            back = np.empty((longest, LABELS, len(some)), np.int8)
-            last = score.copy()
-            for t in range(1, longest):
-                s = score[:, None, :] + to_free
-                here, on = score[own] + from_begin, score[own + 1] + from_inside
-                back[t, free] = s.argmax(0)
-                back[t, own + 1] = np.where(on > here, own[:, None] + 1, own[:, None])
-                score = z[:, t].copy()
-                score[free] += s.max(0)
-                score[own + 1] += np.maximum(here, on)
-                if t >= size[0]:
-                    np.copyto(last, score, where=(size > t)[None, :])
-                else:
-                    last = score
-            last = last + np.where(ends[None, :], 0, move[:, 0][:, None])
+            score[0] += np.where((first == 0)[None, :], self.w["start"][:, None], move[0][:, None])
+            for t in range(1, longest):  # columns from active[t] on go on at t
+                was, now = score[t - 1, :, active[t] :], score[t, :, active[t] :]
+                best = (was[:, None, :] + to_free).max(0)
+                now[0] += best[0]
+                now[1::2] += best[1:]
+                now[2::2] += np.maximum(was[1::2] + from_begin, was[2::2] + from_inside)
+            # the way back looks for the label before only along the best path
             y = np.zeros((longest, len(some)), np.int8)
-            now = last.argmax(0)
-            every = np.arange(len(some))
+            now = (score[size - 1, :, every] + np.where(ends[:, None], 0, move[:, 0][None, :])).argmax(1)
             for t in range(longest - 1, -1, -1):
-                y[t] = np.where(t < size, now, 0)
+                y[t, active[t] :] = now[active[t] :]
                 if t:
-                    now = np.where(t < size, back[t, now, every], now)
+                    now[active[t] :] = (score[t - 1, :, active[t] :] + move.take(now[active[t] :], axis=1)).argmax(0)
             for j, k in enumerate(some):
                 out[k] = y[: size[j], j]
         return out
@@ -215,22 +245,21 @@ def windows_of(length: int) -> list[tuple[int, int]]:
 
 def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the mentions in a sequence of labels."""
-    out, start, kind = [], -1, -1
-    for k, y in enumerate([*labels.tolist(), 0]):
-        if start >= 0 and (y == 0 or y % 2 == 1 or (y - 1) // 2 != kind):
-            out.append((start, k, kind))
-            start = -1
-        if y and start < 0:
-            start, kind = k, (y - 1) // 2
-    return out
+    y = np.append(labels, 0)
+    kind = (y + 1) // 2
+    start = (y > 0) & ((y % 2 == 1) | (kind != np.concatenate([[0], kind[:-1]])))
+    at, stops = np.flatnonzero(start), np.flatnonzero(start | (y == 0))
+    return list(zip(at.tolist(), stops[np.searchsorted(stops, at, "right")].tolist(), (kind[at] - 1).tolist()))
 
 
 def find_mentions(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
-    """The mentions (start, end, kind) of each text, in order and without overlap."""
-    coded = [codes(t) for t in texts]
+    """The mentions (start, end, kind) of each text, in order and without overlap; copies of a text are searched once."""
+    first_of: dict[str, int] = {}
+    copy_of = [first_of.setdefault(t, len(first_of)) for t in texts]
+    coded = [codes(t) for t in first_of]
     windows = [(k, a, b) for k, c in enumerate(coded) if len(c) for a, b in windows_of(len(c))]
     windows.sort(key=lambda w: w[2] - w[1])
-    raw: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    raw: list[list[tuple[int, int, int, int]]] = [[] for _ in coded]
     pieces: list[tuple] = []
     at = 0
     while at < len(windows):
@@ -238,23 +267,30 @@ def find_mentions(texts: list[str], model: Tagger) -> list[list[tuple[int, int,
         some = windows[at : at + max(1, min(BATCH, BATCH_CHARACTERS // (longest[2] - longest[1])))]
         at += len(some)
         n = np.array([b - a for _, a, b in some])
-        x = np.full((int(n[-1]), len(some)), PAD, dtype=np.int16)
+        x = np.full((len(some), int(n[-1])), PAD, dtype=np.int16)
         for j, (k, a, b) in enumerate(some):
-            x[: b - a, j] = coded[k][a:b]
-        pieces += [(*some[j], first, ends, z) for j, first, ends, z in model.pieces(x, n)]
-    for (k, a, b, first, _, _), y in zip(pieces, model.decode([p[3:] for p in pieces])):
-        for s, e, kind in spans_of(y):
-            s, e = s + first, e + first
-            inner = min(s if a else 9999, (b - a) - e if b < len(coded[k]) else 9999)
-            raw[k].append((inner, a + s, a + e, kind))
+            x[j, : b - a] = coded[k][a:b]
+        pieces += [(*some[j], first, ends, z) for j, first, ends, z in model.pieces(np.ascontiguousarray(x.T), n)]
+    # all stretches in one sequence, each followed by a label outside
+    labels = model.decode([p[3:] for p in pieces])
+    begin = np.cumsum([0, *(len(y) + 1 for y in labels)])
+    joined = np.zeros(begin[-1], np.int8)
+    for y, s in zip(labels, begin.tolist()):
+        joined[s : s + len(y)] = y
+    found = spans_of(joined)
+    for (s, e, kind), p in zip(found, (np.searchsorted(begin, [f[0] for f in found], "right") - 1).tolist()):
+        k, a, b, first, _, _ = pieces[p]
+        s, e = s - int(begin[p]) + first, e - int(begin[p]) + first
+        inner = min(s if a else 9999, (b - a) - e if b < len(coded[k]) else 9999)
+        raw[k].append((inner, a + s, a + e, kind))
     out = []
-    for found in raw:
+    for each in raw:
         chosen: list[tuple[int, int, int]] = []
-        for _, s, e, kind in sorted(found, key=lambda f: (-f[0], f[1])):
+        for _, s, e, kind in sorted(each, key=lambda f: (-f[0], f[1])):
             if all(e <= x or s >= y for x, y, _ in chosen):
                 chosen.append((s, e, kind))
         out.append(sorted(chosen))
-    return out
+    return [out[k] for k in copy_of]
 
 
 def placeholders(text: str, found: list[tuple[int, int, int]]) -> str:

@@ -166,6 +166,26 @@ def test_names_without_a_cue_and_at_line_ends(before, name, after):
     assert found == [(len(before), len(before) + len(name), pii.KINDS.index("name"))]
 
 
+def test_scores_of_a_window_do_not_depend_on_those_beside_it():
+    m, texts = pii.tagger(), ["It belongs to Daniel Quillmark.", "The nurse and the tailor argued over a green lamp, and nobody saw it.", "ok"]
+    wide = np.full((80, 3), pii.PAD, np.int16)
+    for j, t in enumerate(texts):
+        wide[: len(t), j] = pii.codes(t)
+    every = m.emissions(wide)
+    for j, t in enumerate(texts):
+        np.testing.assert_allclose(m.emissions(pii.codes(t)[:, None])[:, :, 0], every[:, : len(t), j], atol=1e-3)
+
+
+def test_copies_of_a_text_are_searched_once(monkeypatch):
+    m, seen = pii.Tagger(), []
+    pieces = m.pieces
+    monkeypatch.setattr(m, "pieces", lambda x, n: seen.extend(n.tolist()) or pieces(x, n))
+    text = "Do you know Thomas Wexmoor from the choir?"
+    found = pii.find_mentions([text, "", text, "It was late.", text], m)
+    assert sorted(seen) == [12, len(text)]
+    assert found[0] == found[2] == found[4] == [(12, 26, pii.KINDS.index("name"))] and found[1] == found[3] == []
+
+
 def test_held_out_accuracy_of_mentions():
     made = generated(99, 500)
     found = pii.find_mentions([t for t, _ in made], pii.tagger())
