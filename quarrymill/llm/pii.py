@@ -4,8 +4,8 @@ A model in numpy labels every character of every text: outside, or begin or insi
 left out beforehand: texts are cut into overlapping windows that cover them whole. Each window is decoded by itself,
 and the mentions are reconciled over the text: of two that overlap, the one further from its window's edges stands.
 
-Decoding is exact but skips work that can't matter. With the emissions at hand, a recursion over three labels (outside,
-the best kind's begin, the best kind's inside) bounds what any labelling that isn't outside at a position gains over
+Decoding is exact but skips work that can't matter. With the emissions at hand, a recursion over the kinds, each by itself
+but for moves between mentions that touch, bounds what any labelling that isn't outside at a position gains over
 "outside" everywhere; where that bound isn't positive, the position is outside in a best labelling, and the Viterbi
 recursion over all labels only runs over the stretches between such positions.
 
@@ -28,7 +28,7 @@ LABELS = 1 + 2 * len(KINDS)
 WINDOW = 1536
 OVERLAP = 96
 BATCH = 1024
-BATCH_CHARACTERS = 1_600_000
+BATCH_CHARACTERS = 1_000_000
 STEPS = 8
 TEXTS = 10_000
 NEVER = np.float32(-1e4)
@@ -75,9 +75,11 @@ class Tagger:
             self.w["move"][others, k] = NEVER
             self.w["start"][k] = NEVER
         move, start = self.w["move"] - self.w["move"][0, 0], self.w["start"] - self.w["start"][0]
-        part = (slice(0, 1), slice(1, None, 2), slice(2, None, 2))  # outside, begin, inside
-        self.bound = [[float(move[i, j].max()) for j in part] for i in part]
-        self.first = [float(start[i].max()) for i in part]
+        begin, inside = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
+        leave = np.stack([move[begin, 0], move[inside, 0]])
+        again = (move[1:, begin] - move[1:, :1]).max(0)  # to a begin from no matter which mention, as if it were left first
+        stay = np.stack([move[begin, inside], move[inside, inside]])
+        self.bound = [x[..., None] for x in (start[begin], move[0, begin], again, leave, stay)]
         self.size = size
         self.begin = {"f": (np.float32(0), np.float32(0)), "b": self._settled("b")}
 
@@ -146,41 +148,45 @@ class Tagger:
     def stretches(self, e: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
         """(column, first, end): wherever a best labelling may be other than outside; n has the windows' lengths.
 
-        The kinds are taken together: begin and inside score what the best kind does, and so do the transitions. The
-        best path of these three labels through a position bounds every labelling that isn't outside there.
+        The best path through a begin or inside of each kind is bounded, from both ends; only moves from one mention
+        right to another are taken together. A little is added, as these sums are rounded otherwise than the decoding's.
         """
         long, wide = e.shape[1:]
-        gain = np.zeros((long, 3, wide), np.float32)  # of outside, begin and inside over outside
-        for j in (1, 2):
-            best = gain[:, j]
-            best[:] = e[j]
-            for k in range(j + 2, LABELS, 2):
-                np.maximum(best, e[k], out=best)
-            best -= e[0]
-            best[np.arange(long)[:, None] >= n] = -1e9
-        to, first = np.array(self.bound, np.float32)[:, :, None], np.array(self.first, np.float32)[:, None]
-        ahead = np.empty((long, 3, wide), np.float32)
-        add, maximum = np.add, np.maximum
-        a, b = np.empty((3, wide), np.float32), np.empty((3, wide), np.float32)
-        now = add(gain[0], first, out=ahead[0])
+        start, enter, again, leave, stay = self.bound
+        gain = np.empty((long, 2, len(KINDS), wide), np.float32)  # of begin and inside of each kind over outside
+        for j in (0, 1):
+            np.subtract(e[1 + j :: 2].transpose(1, 0, 2), e[0][:, None], out=gain[:, j])
+        on, shortest = np.arange(long)[:, None] < n, int(n.min())
+        np.copyto(gain[shortest:], np.float32(-1e9), where=~on[shortest:, None, None])
+        ahead, a, b = np.empty_like(gain), np.empty_like(gain[0]), np.empty_like(gain[0, 0])
+        outside, other = np.zeros(wide, np.float32), np.empty(wide, np.float32)
+        add, maximum, most = np.add, np.maximum, np.maximum.reduce
+        now = ahead[0]
+        now[0], now[1] = gain[0, 0] + start, -1e9
         for t in range(1, long):
-            add(now[0], to[0], out=a)
-            maximum(a, add(now[1], to[1], out=b), out=a)
-            maximum(a, add(now[2], to[2], out=b), out=a)
-            now = add(a, gain[t], out=ahead[t])
-        # gains of the rest, for labels outside, begin and inside here; 0 at the end of a window
-        to = np.ascontiguousarray(to.transpose(1, 0, 2))
-        rest = np.zeros((3, wide), np.float32)
+            was, now = now, ahead[t]
+            most(add(was, leave, out=a).reshape(-1, wide), axis=0, out=other)
+            add(was, stay, out=a)
+            maximum(a[0], a[1], out=now[1])
+            maximum(add(outside, enter, out=a[0]), add(other, again, out=b), out=now[0])
+            now += gain[t]
+            maximum(outside, other, out=outside)
+        # what the rest adds to each label here and to outside; nothing at the end of a window
+        rest, outside[:] = np.zeros_like(a), 0
+        best, may = np.empty(wide, np.float32), np.zeros((long + 2, wide), np.int8)
         for t in range(long - 1, -1, -1):
             now = ahead[t]
             now += rest
-            add(rest, gain[t], out=b)
-            add(b[0], to[0], out=rest)
-            maximum(rest, add(b[1], to[1], out=a), out=rest)
-            maximum(rest, add(b[2], to[2], out=a), out=rest)
-        may = np.zeros((wide, long + 2), np.int8)
-        may[:, 1:-1] = (maximum(ahead[:, 1], ahead[:, 2]) > 0).T
-        col, at = np.nonzero(np.diff(may, axis=1))
+            may[t + 1] = most(now.reshape(-1, wide), axis=0, out=best) > -0.01
+            add(rest, gain[t], out=a)
+            most(add(a[0], again, out=b), axis=0, out=other)
+            most(add(a[0], enter, out=b), axis=0, out=best)
+            add(a[1], stay, out=rest)
+            maximum(rest, add(maximum(other, outside, out=other), leave, out=a), out=rest)
+            maximum(outside, best, out=outside)
+            if t >= shortest:
+                rest *= on[t]
+        col, at = np.nonzero(np.diff(np.ascontiguousarray(may.T), axis=1))
         return list(zip(col[::2].tolist(), at[::2].tolist(), at[1::2].tolist()))
 
     def pieces(self, x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bool, np.ndarray]]:

@@ -186,6 +186,33 @@ def test_copies_of_a_text_are_searched_once(monkeypatch):
     assert found[0] == found[2] == found[4] == [(12, 26, pii.KINDS.index("name"))] and found[1] == found[3] == []
 
 
+def test_stretches_of_windows_of_different_lengths_lose_nothing():
+    """On random scores, up to the last character of windows beside longer ones."""
+    m, r = pii.tagger(), np.random.default_rng(7)
+    move, every = m.w["move"], 0
+    for _ in range(40):
+        e = np.repeat(r.normal(0, 3, (pii.LABELS, 8, 6)), 6, axis=1).astype(np.float32)
+        e[0] += np.float32(r.choice([0, 3, 5]))
+        n = r.integers(1, 49, 6)
+        n[2] = 48
+        found = m.stretches(e, n)
+        every += sum(end - first for _, first, end in found)
+        got = np.zeros((48, 6), int)
+        for (j, first, end), y in zip(found, m.decode([(first, end == n[j], e[:, first:end, j]) for j, first, end in found])):
+            got[first:end, j] = y
+        for j in range(6):
+            score, back = e[:, 0, j] + m.w["start"], []
+            for t in range(1, n[j]):
+                s = score[:, None] + move
+                back.append(s.argmax(0))
+                score = s.max(0) + e[:, t, j]
+            y = [int(score.argmax())]
+            for b in back[::-1]:
+                y.append(int(b[y[-1]]))
+            assert got[: n[j], j].tolist() == y[::-1]
+    assert every < 40 * 6 * 48
+
+
 def test_held_out_accuracy_of_mentions():
     made = generated(99, 500)
     found = pii.find_mentions([t for t, _ in made], pii.tagger())
